@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lucerna.llm import decontaminate, exact_dedup
+from lucerna.llm import decontaminate, exact_dedup, minhash, mixing, warc
 
-MODULES = (exact_dedup, decontaminate)
+MODULES = (mixing, warc, exact_dedup, minhash, decontaminate)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
