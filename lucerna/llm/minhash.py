@@ -3,12 +3,15 @@
 1. One pass over the texts gives each document its number of distinct word shingles, a digest of the sorted set, the
    low bit of each of 256 minima packed into four longs (b = 1), and a key for each of 24 bands of five minima.
    Documents of equal sets share the digest; only the smallest id of such a class goes on.
-2. Band buckets give candidates: each member is paired with the bucket's most connected member, so a bucket of n makes
-   n - 1 pairs. The packed bits give the collision-corrected estimate J = 2 * agreeing / 256 - 1, and pairs whose
-   estimate is over six standard errors below the threshold go.
-3. What is left is confirmed on full sets of 64-bit shingle hashes, and components are formed from confirmed links.
-4. Buckets that then still span several components have their pairs across components estimated and confirmed too,
-   and so on until no bucket holds an unchecked pair between components: a link that shares a bucket isn't lost.
+2. Band buckets give candidates: each member is paired with the bucket's most connected member, its hub, so a bucket of
+   n makes n - 1 pairs. The packed bits give the collision-corrected estimate J = 2 * agreeing / 256 - 1, and pairs
+   whose estimate is far below go. The others are compared on full sets of 64-bit shingle hashes. Members that are far
+   from their hub stay in the bucket for another round with another hub.
+3. Components are formed from confirmed links.
+4. Where the members of a hub span components, each member is reduced to its difference D to the hub's set. As
+   |x ^ y| = |D_x ^ D_y|, and a member that isn't linked to the hub has a large D, a link between x and y takes a
+   number of shared elements of D: a prefix-filtered join on rare shared elements finds all such pairs without pairing
+   the members of a group with one another. They are confirmed on full sets like the others.
 
 A pair at similarity 0.85 shares no bucket with probability (1 - 0.85**5)**24 = 8e-7.
 """
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lucerna.llm.common import load, stage
@@ -30,8 +33,12 @@ SHINGLE = 5
 HASHES = 256
 BANDS, ROWS = 24, 5
 PERCENT = 85
-#: Estimates this far below the threshold go: six times sqrt((1 - J**2) / 256) at J = 0.85.
-SLACK = 0.2
+#: Members of a bucket as similar as NEAR to their hub need no other hub. By the triangle inequality a text that is
+#: linked to such a member is at least as similar as FAR, and differences to the hub decide about all members above FAR.
+NEAR, FAR = 0.6, 0.45
+LATER_HUBS = 8
+#: Estimates this far below FAR go: six times sqrt((1 - J**2) / 256) at J = 0.45.
+SLACK = 0.33
 _U = np.uint64
 _FACTORS = np.random.default_rng(20240229).integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = np.random.default_rng(20240301).integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -123,35 +130,109 @@ def agreement(a: str, b: str) -> Column:
     return 1 - 2 * differing / HASHES
 
 
-def plausible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Candidate rows (a, b, abits, bbits, an, bn) that set sizes and estimates allow, without the bits."""
-    sizes = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
-    return pairs.filter(sizes & (agreement("abits", "bbits") >= percent / 100 - SLACK)).select("a", "b").distinct()
+def plausible(pairs: DataFrame, lean: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) whose estimate isn't far below FAR; lean has id and bits."""
+    side = lambda name: lean.select(F.col("id").alias(name), F.col("bits").alias(f"{name}bits"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(agreement("abits", "bbits") >= FAR - SLACK).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full shingle sets."""
+def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles) of the documents in ids. Texts are joined by sort and merge at any size: ids grow with the data."""
     id_type = df.schema[id_col].dataType.simpleString()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).hint("merge").join(ids.hint("merge"), "id", "left_semi")
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "shingles"])
 
-    sets = stage(texts.mapInArrow(hash_sets, f"id {id_type}, shingles binary"), "op5-sets")
+    sets = texts.mapInArrow(hash_sets, f"id {id_type}, shingles binary")
+    return sets.groupBy("id").agg(F.max("shingles").alias("shingles"))
+
+
+def _array(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_py(), dtype=np.uint64)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """pairs (a, b) with common, an, bn: sizes of intersection and sets; with the array diff of a's and b's other elements, if asked for."""
+    id_type = pairs.schema["a"].dataType.simpleString()
+    names = ["a", "b", "common", "an", "bn", *["diff"] * differences]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            common, sizes, diffs = [], ([], []), []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common) > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                p, q = _array(x), _array(y)
+                common.append(len(np.intersect1d(p, q, assume_unique=True)))
+                sizes[0].append(len(p))
+                sizes[1].append(len(q))
+                if differences:
+                    diffs.append(np.setxor1d(p, q, assume_unique=True).view(np.int64))
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (common, *sizes))]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(diffs, pa.list_(pa.int64()))] * differences], names=names)
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, f"a {id_type}, b {id_type}")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, f"a {id_type}, b {id_type}, common long, an long, bn long" + ", diff array<long>" * differences)
+
+
+def similar(percent: float) -> Column:
+    return F.col("common") * 100 >= (F.col("an") + F.col("bn") - F.col("common")) * percent
+
+
+def star_pairs(buckets: DataFrame, lean: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a: hub, b: member) of every bucket, compared, with similarity FAR or more; buckets has key, id, weight."""
+    rows, found, r = buckets, None, 0
+    while True:
+        if r == 0:
+            hubs = rows.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
+        else:  # what is left is few texts far from one another: more hubs save rounds
+            heaviest = Window.partitionBy("key").orderBy(F.col("weight").desc(), "id")
+            hubs = rows.withColumn("at", F.row_number().over(heaviest)).filter(f"at <= {LATER_HUBS}").select("key", F.col("id").alias("a"))
+        members = stage(rows.join(hubs, "key").filter("id <> a"), f"op5-members-{r}")
+        pairs = members.select("a", F.col("id").alias("b")).distinct()
+        checked = stage(compared(plausible(pairs, lean), sets).filter(similar(100 * FAR)), f"op5-checked-{r}")
+        found = checked if found is None else found.unionByName(checked)
+        near = checked.filter(similar(100 * NEAR)).select("a", F.col("b").alias("id"))
+        settled = members.join(near, ["a", "id"], "left_semi").select("key", "id").unionByName(hubs.select("key", F.col("a").alias("id"))).distinct()
+        left = rows.join(settled, ["key", "id"], "left_anti")
+        if r == 0:
+            # a bucket of texts far from one another, around a shared passage, say: deal it out by second shared bands;
+            # a link shares none of the 23 others with probability 1e-6
+            other = buckets.select("id", F.col("key").alias("other"))
+            left = left.join(other, "id").filter("key <> other").select(F.xxhash64("key", "other").alias("key"), "id", "weight")
+        open_keys = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        rows, r = stage(left.join(open_keys, "key"), f"op5-left-{r}"), r + 1
+        if not rows.limit(1).count():
+            return found.dropDuplicates(["a", "b"])
+
+
+def residual_pairs(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub and of different components that differences to the hub don't rule out."""
+    label = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"{name}_component"))
+    placed = stars.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    placed = placed.withColumn("a_component", F.coalesce("a_component", "a")).withColumn("b_component", F.coalesce("b_component", "b"))
+    spanning = placed.groupBy("a").agg(F.max(F.col("a_component") != F.col("b_component")).alias("open")).filter("open").select("a")
+    placed = stage(placed.join(spanning, "a").select("a", "b", "b_component"), "op5-open")
+    ratio = (100 - percent) / (100 + percent)
+    linked = similar(percent)
+    rows = compared(placed.select("a", "b"), sets, differences=True).withColumn("linked", linked)
+    rows = rows.join(placed, ["a", "b"]).select("a", "b", F.col("b_component").alias("component"), "linked", "an", "bn", F.size("diff").alias("d"), "diff")
+    rows = stage(rows, "op5-differences")
+    elements = rows.select("a", "b", F.explode("diff").alias("e"))
+    often = elements.groupBy("a", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = elements.join(often, ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    # a partner that isn't linked to the hub must share more than this with b
+    least = F.greatest(F.floor((F.col("d") + (F.col("an") - F.col("bn")) * ratio) / 2 - 1e-9) + 1, F.lit(1))
+    full = rows.drop("diff").join(ranked, ["a", "b"]).withColumn("m", F.size("es"))
+    full = stage(full.withColumn("prefix", F.slice("es", 1, F.greatest(F.col("m") - least + 1, F.lit(0)).cast("int"))), "op5-ranked")
+    cells = lambda name, es: [F.col("b").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("component", "bn", "d", "m")], F.posexplode(f"{es}.e").alias(f"{name}_at", "e")]
+    x = full.filter(~F.col("linked")).select("a", *cells("x", "es"))
+    y = full.select("a", *cells("y", "prefix"))
+    # at the first shared element, what follows in both must still give enough to share
+    enough = F.least(F.col("x_m") - F.col("x_at"), F.col("y_m") - F.col("y_at")) * 2 >= F.col("x_d") + F.col("y_d") - (F.col("x_bn") + F.col("y_bn")) * ratio - 1e-6
+    met = x.alias("x").join(y.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x_component") != F.col("y_component")) & enough)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -166,30 +247,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = signed.filter("n > 0 and id is not null")
     classes = stage(one.groupBy("n", "digest").agg(F.min("id").alias("rep")), "op5-classes")
     reps = one.join(classes.select(F.col("rep").alias("id"), "n", "digest"), ["id", "n", "digest"], "left_semi")
-    lean = reps.select("id", "n", "bits")
 
     banded = reps.select("id", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     buckets = stage(banded.join(shared, "key"), "op5-buckets")
     rank = buckets.groupBy("id").agg(F.sum("members").alias("weight"))
-    weighed = buckets.join(rank, "id")
-    hubs = weighed.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
-    stars = buckets.join(hubs, "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-
-    side = lambda name: lean.select(F.col("id").alias(name), F.col("bits").alias(f"{name}bits"), F.col("n").alias(f"{name}n"))
-    links = stage(confirmed(stage(plausible(stars.join(side("a"), "a").join(side("b"), "b"), percent), "op5-stars"), df, id_col, text_col, percent), "op5-links")
+    weighed = stage(buckets.join(rank, "id").select("key", "id", "weight"), "op5-weighed")
+    lean = stage(reps.select("id", "bits").join(rank, "id", "left_semi"), "op5-lean")
+    sets = stage(full_sets(df, lean.select("id"), id_col, text_col), "op5-sets")
+    stars = stage(star_pairs(weighed, lean, sets), "op5-stars")
+    links = stage(stars.filter(similar(percent)).select("a", "b"), "op5-links")
     labels = stage(connected_components(links), "op5-labels")
-
-    # buckets that span components: pairs across components, smaller component against the others
-    placed = buckets.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spanning = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_rows = stage(placed.join(spanning, "key").join(lean, "id"), "op5-open")
-    left, right = (open_rows.select("key", *[F.col(c).alias(f"{name}{c}" if c != "id" else name) for c in ("id", "bits", "n", "component")]) for name in "ab")
-    across = plausible(left.join(right, "key").filter("acomponent < bcomponent"), percent)
-    across = stage(across.join(stage_pairs(stars), ["a", "b"], "left_anti"), "op5-across")
-    if across.limit(1).count():
-        ordered = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = confirmed(ordered, df, id_col, text_col, percent)
+    rest = stage(residual_pairs(stars, labels, sets, percent), "op5-residual")
+    if rest.limit(1).count():
+        more = compared(rest, sets).filter(similar(percent)).select("a", "b")
         labels = stage(connected_components(links.unionByName(more)), "op5-labels-all")
 
     # a class takes its representative's component
@@ -199,11 +270,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def stage_pairs(stars: DataFrame) -> DataFrame:
-    """Pairs that were checked already, in both orders."""
-    return stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
