@@ -111,21 +111,21 @@ def shards_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) ->
     return shards
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, shard_bytes: int = SHARD_BYTES, keep_text: bool = False) -> DataFrame:
-    """One row per document row: id, n_words, n_hit, n_items, items_sha256, contaminated, ranges (hit word ranges), items.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, shard_bytes: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
+    """One row per document row: id, n_words, n_hit, n_items, items_sha256, contaminated, ranges (hit word ranges), items, and the whole row as the struct row if carry.
 
     Null and empty texts have no words and are clean; a null benchmark text is skipped; an item without id counts as
     the id 'None'. Repeated rows each get their own result, an empty benchmark hits nothing. Rows never move: each
     shard of patterns is one narrow pass, which hands ranges and items so far to the next.
     """
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<int>>)").alias("ranges"), F.expr("cast(array() as array<string>)").alias("items"))
-    schema = f"id {id_type}, text string, n_words long, ranges array<array<int>>, items array<string>"
+    whole = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry else [id_col])])
+    out = docs.select(whole.alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<int>>)").alias("ranges"), F.expr("cast(array() as array<string>)").alias("items"))
+    schema = out.schema
     for shard in shards_of(benchmark, item_col, item_text_col, shard_bytes):
         sent = spark.sparkContext.broadcast(shard)
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, schema=schema) -> Iterator[pa.RecordBatch]:
             tables = WuManber(sent.value, width)
             for batch in batches:
                 texts, before, known = batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist()
@@ -136,11 +136,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                     counts.append(len(words))
                     ranges.append([list(r) for r in covered(hits + [tuple(r) for r in before[k]])])
                     items.append(sorted({*known[k], *map(str, found)}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "n_words", "ranges", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
         out = out.mapInArrow(search, schema)
     hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + (r[1] - r[0]))
-    return out.select(F.col("id").alias(id_col), *["text"] * keep_text, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"), "ranges", "items")
+    return out.select(F.col(f"row.`{id_col}`").alias(id_col), *["row"] * carry, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"), "ranges", "items")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs' rows without any benchmark window; options as for find_contamination."""
+    return find_contamination(docs, benchmark, carry=True, **options).filter("not contaminated").select("row.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,17 +22,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_CLASS + "+", "")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """One row per input row: the id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when they are identical without white space. Of equal texts the row with the most code points
-    stays, then the one with the smallest id (null ids last). A null text counts as empty, and empty texts form one
-    group. Rows that repeat id and text all count in group_size and share the decision. Other columns are ignored,
-    an empty table gives no rows.
-    """
+def _decided(df: DataFrame, id_col: str, text_col: str, partitions: int | None, carry: bool) -> DataFrame:
+    """Rows (id, keep_id, group_size, text_sha256, first, and row if carry); first: the one row of its group that stays."""
     spark = df.sparkSession
     parts = partitions or shuffle_partitions(spark)
-    rows = df.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), normalised(F.col(text_col)).alias("norm")).select("id", "n", "norm", F.xxhash64("norm").alias("h"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] * carry
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), F.length(text).alias("n"), normalised(F.col(text_col)).alias("norm"), *row)
+    rows = rows.select("id", "n", "norm", F.xxhash64("norm").alias("h"), *["row"] * carry)
 
     counted = stage(rows.groupBy("h").agg(F.count("*").alias("c")), "op4-counts")
     total = counted.agg(F.sum("c")).first()[0] or 0
@@ -41,24 +38,49 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
 
     cold = rows.filter(~is_hot) if hot else rows
-    ranged = cold.withColumn("head", F.substring("norm", 1, HEAD)).repartitionByRange(parts, "head", "h")
+    if carry:  # the text moves once: what it is normalised to is made anew behind the exchange
+        cold = cold.select("id", "n", "row", "h", F.substring("norm", 1, HEAD).alias("head")).repartitionByRange(parts, "head", "h").withColumn("norm", normalised(F.col(f"row.`{text_col}`")))
+    else:
+        cold = cold.withColumn("head", F.substring("norm", 1, HEAD)).repartitionByRange(parts, "head", "h")
     group = Window.partitionBy("head", "h", "norm")
-    order = [F.col("n").desc(), F.col("id").asc_nulls_last()]
-    found = ranged.select(
+    order = group.orderBy(F.col("n").desc(), F.col("id").asc_nulls_last())
+    found = cold.select(
         "id",
-        F.first("id").over(group.orderBy(*order)).alias("keep_id"),
-        F.count("*").over(group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("group_size"),
+        F.first("id").over(order).alias("keep_id"),
+        F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("group_size"),
         F.sha2("norm", 256).alias("text_sha256"),
+        (F.row_number().over(order) == 1).alias("first"),
+        *["row"] * carry,
     )
-    if hot:
-        same = rows.filter(is_hot)
-        rank = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
-        keepers = same.groupBy("norm").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
-        keepers = keepers.select(F.sha2("norm", 256).alias("text_sha256"), F.col("best.id").alias("keep_id"), "group_size")
-        # a few rows of fixed width: at most 4 * parts keys are hot
-        joined = same.select("id", F.sha2("norm", 256).alias("text_sha256")).join(F.broadcast(keepers), "text_sha256")
-        found = found.unionByName(joined)
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), "text_sha256")
+    if not hot:
+        return found
+    same = rows.filter(is_hot)
+    rank = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
+    keepers = same.groupBy("norm").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
+    keepers = keepers.select(F.sha2("norm", 256).alias("text_sha256"), F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("most"), "group_size")
+    # a few rows of fixed width: at most 4 * parts keys are hot
+    joined = same.select("id", "n", F.sha2("norm", 256).alias("text_sha256"), *["row"] * carry).join(F.broadcast(keepers), "text_sha256")
+    best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("most"))
+    return found.unionByName(joined.withColumn("first", best).drop("n", "most"))
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """One row per input row: the id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when they are identical without white space. Of equal texts the row with the most code points
+    stays, then the one with the smallest id (null ids last). A null text counts as empty, and empty texts form one
+    group. Rows that repeat id and text all count in group_size and share the decision. Other columns are ignored,
+    an empty table gives no rows.
+    """
+    found = _decided(df, id_col, text_col, partitions, False)
+    kept = F.coalesce(F.col("id").eqNullSafe(F.col("keep_id")), F.lit(False))
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """df's rows, one of each group of equal texts: the one that exact_dedup keeps, and one alone of repeated rows."""
+    found = _decided(df, id_col, text_col, partitions, True).filter("first")
+    return found.groupBy("text_sha256").agg(F.first("row").alias("row")).select("row.*") if df.columns else df
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

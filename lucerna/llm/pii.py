@@ -6,7 +6,8 @@ far apart, are linked by skip edges whose potentials favour equal labels. Loopy
 until they settle, so a bare repetition of an entity is found through its full mention. Other tokens are clamped to O.
 
 The field is trained piecewise on a bounded sample of documents with the base spans as labels: a softmax over token
-shapes for the nodes, label-pair counts for chain and skip edges.
+shapes for the nodes, label-pair counts for chain and skip edges. Where entities stand side by side a pattern runs on
+over both and is dropped for its length; tokens of such fused matches train nothing, and the field takes them apart.
 """
 
 from __future__ import annotations
@@ -80,6 +81,12 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def fused_ranges(text: str) -> list[tuple[int, int]]:
+    """Card and phone matches with too many digits for one entity."""
+    out = [m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 20 and sum(c.isdigit() for c in m.group()) > 19]
+    return sorted(out + [m.span() for m in _PHONE.finditer(text) if m.end() - m.start() >= 17 and sum(c.isdigit() for c in m.group()) > 15])
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -96,11 +103,13 @@ def shape_of(token: str) -> str:
 def node_features(text: str, spans: list[tuple[int, int]], i: int) -> tuple[str, ...]:
     a, b = spans[i]
     token = _EDGE.sub("", text[a:b])
-    digits = sum(c.isdigit() for c in token)
+    plain = "".join(c for c in token if c in "0123456789")
+    digits = len(plain)
+    parts = token.split(".")
     size = next(k for k, most in enumerate((0, 3, 4, 7, 10, 13, 15, 19, 1 << 60)) if digits <= most)
     near_left = i > 0 and a - spans[i - 1][1] <= 1
     near_right = i + 1 < len(spans) and spans[i + 1][0] - b <= 1
-    return (f"shape={shape_of(token)}", f"digits={size}", f"at={token.count('@')}", f"dots={min(token.count('.'), 4)}", f"plus={token[:1] == '+'}", f"paren={'(' in token}", f"dash={min(token.count('-'), 3)}", f"letters={any(c.isalpha() for c in token)}", f"left={shape_of(text[slice(*spans[i - 1])]) if near_left else ''}", f"right={shape_of(text[slice(*spans[i + 1])]) if near_right else ''}")
+    return (f"shape={shape_of(token)}", f"digits={size}", f"at={token.count('@')}", f"dots={min(token.count('.'), 4)}", f"plus={token[:1] == '+'}", f"paren={'(' in token}", f"dash={min(token.count('-'), 3)}", f"letters={any(c.isalpha() for c in token)}", f"luhn={16 <= digits <= 19 and luhn(plain)}", f"octets={len(parts) == 4 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)}", f"left={shape_of(text[slice(*spans[i - 1])]) if near_left else ''}", f"right={shape_of(text[slice(*spans[i + 1])]) if near_right else ''}")
 
 
 def skip_keys(token: str) -> list[str]:
@@ -239,10 +248,16 @@ def _silver_sorted(tokens: list[tuple[int, int]], base: list[Span]) -> list[int]
 
 
 def pair_potential(counts: np.ndarray) -> np.ndarray:
-    """Log ratio of smoothed label-pair counts to what independent labels would give, within [-4, 4]."""
+    """Log ratio of smoothed label-pair counts to what independent labels would give, within [-4, 4].
+
+    Pairs of two kinds get 0: where they touch, the patterns that label the sample fuse them.
+    """
     n = counts + counts.T + 0.5
     rows = n.sum(axis=1)
-    return np.clip(np.log(n * n.sum() / np.outer(rows, rows)), -4, 4)
+    out = np.clip(np.log(n * n.sum() / np.outer(rows, rows)), -4, 4)
+    kinds = np.arange(len(out)) > 0
+    out[np.outer(kinds, kinds) & ~np.eye(len(out), dtype=bool)] = 0.0
+    return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED) -> Field:
@@ -257,13 +272,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit
                 text = t.as_py()
                 tokens = tokens_of(text)
                 labels = _silver_sorted(tokens, base_spans(text))
+                fused = _silver_sorted(tokens, [(KINDS[0], a, b) for a, b in fused_ranges(text)])
                 for i, label in enumerate(labels):
+                    if fused[i] and not label:
+                        continue
                     seen["n\t" + "\t".join([str(label), *node_features(text, tokens, i)])] += 1
                     close = i + 1 < len(tokens) and tokens[i + 1][0] - tokens[i][1] <= 1
+                    if close and fused[i + 1] and not labels[i + 1]:
+                        continue
                     seen[f"c\t{label}\t{labels[i + 1] if close else 0}"] += 1
                     if not i or tokens[i][0] - tokens[i - 1][1] > 1:
                         seen[f"c\t0\t{label}"] += 1
                 for i, j in skip_edges(text, tokens):
+                    if fused[i] or fused[j]:
+                        continue
                     seen[f"s\t{labels[i]}\t{labels[j]}"] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["row", "n"])
 

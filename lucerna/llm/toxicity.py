@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lucerna.llm.common import load, stage
 from lucerna.llm.decontaminate import FOLD
@@ -181,12 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Scorer({f: float(x) for f, x in zip(names, w) if x}, bias)
 
 
-def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
-    """docs' id (or all its columns, if carry) with score and predicted. Null and empty texts get the bias's score."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((dict(zip(scorer.index, scorer.weights)), scorer.bias))  # at most MAX_FEATURES weights
-    rows = docs.select(F.struct(*([F.col(f"`{c}`") for c in docs.columns] if carry else [F.col(id_col)])).alias("row"), F.col(text_col).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, score double" if not carry else None
+def _scored(docs: DataFrame, scorer: Scorer, columns: list[str], text_col: str) -> DataFrame:
+    """(row: a struct of the columns, score)."""
+    sent = docs.sparkSession.sparkContext.broadcast((dict(zip(scorer.index, scorer.weights)), scorer.bias))  # at most MAX_FEATURES weights
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = Scorer(*sent.value)
@@ -194,12 +193,17 @@ def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
             scores = [local.score(words_of(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
-    if schema is None:
-        from pyspark.sql import types as T
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
-        schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
-    out = rows.mapInArrow(run, schema)
-    return out.select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The id of every document with score and predicted. Null and empty texts get the bias's score."""
+    return _scored(docs, scorer, [id_col], text_col).select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs' rows that score below the threshold."""
+    return _scored(docs, scorer, docs.columns, text_col).filter(F.col("score") < threshold).select("row.*")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
