@@ -6,17 +6,20 @@ one document alone go. Extend: from every shared anchor a document reaches out b
 windows that hold this anchor; a window that an earlier document has as well carries the repeat on. The covered words
 are the union of such windows: maximal repeats of at least WINDOW words.
 
-All groups are counted by partial aggregates and joined back, so an anchor or a window that a third of the documents
-share needs a row a task and is never expanded into pairs.
+Both joins are exchanges of packed arrays, a few rows a task and shard. A task settles what it can by itself and asks
+the shard of a key only once for each key that it has, so an anchor or a window that a third of the documents share
+costs a shard one row a task. The text moves once, by document, and both later passes read that exchange.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from lucerna.llm.common import load, stage
 from lucerna.llm.minhash import gram_hashes, mixed, word_hashes
 
 WINDOW, GRAM = 13, 5
+#: Text for each shard of keys, and keys that a task holds before it sends them.
+SHARD_BYTES, HELD = 32 << 20, 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -51,58 +56,149 @@ def removed_words(n: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarra
     return np.cumsum(edge[:n]) > 0
 
 
-def anchor_ranges(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, low, high): the least and greatest document of each anchor of a batch of rows (id, text)."""
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of equal sorted keys."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+    return first, np.diff(np.r_[first, len(keys)])
+
+
+class _Mail:
+    """Rows (kind, shard, keys, ids, starts) of packed arrays: questions to the shard of their key, and settled rows."""
+
+    def __init__(self, bits: int):
+        self.bits, self.rows = bits, []
+
+    def ask(self, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
+        """Keys must be sorted."""
+        cuts = np.searchsorted(keys, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        edges = [0, *cuts.tolist(), len(keys)]
+        for shard, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                self._add(0, shard, keys[a:b], ids[a:b], starts[a:b])
+
+    def settle(self, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
+        """These need no answer; they go along with any shard, another one for each task."""
+        if len(ids):
+            self._add(1, TaskContext.get().partitionId() % (1 << self.bits), keys, ids, starts)
+
+    def _add(self, kind: int, shard: int, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
+        self.rows.append((kind, shard, keys.tobytes(), ids.astype(np.int64).tobytes(), starts.astype(np.int32).tobytes()))
+
+    def batch(self) -> pa.RecordBatch:
+        rows, self.rows = self.rows, []
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "shard", "keys", "ids", "starts"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchors, ids = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.unique(window_anchors(word_hashes(words_of(text.as_py())), window, gram))
-                anchors.append(own)
-                ids.append(np.full(len(own), doc, dtype=np.int64))
-            keys, docs = np.concatenate(anchors), np.concatenate(ids)
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-            last = np.r_[first[1:], len(keys)] - 1 if len(keys) else first
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(docs[first]), pa.array(docs[last])], names=["anchor", "low", "high"])
 
-    return rows.mapInArrow(scan, "anchor long, low long, high long")
+MAIL = "kind int, shard int, keys binary, ids binary, starts binary"
 
 
-def anchor_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, anchor), a row for each distinct anchor of a document."""
+def _opened(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, ids and starts of a shard's rows of one kind."""
+    rows = [r for r in zip(table.column("kind").to_pylist(), table.column("keys"), table.column("ids"), table.column("starts")) if r[0] == kind]
+    join = lambda i, t: np.concatenate([np.zeros(0, dtype=t), *(np.frombuffer(r[i].as_py(), dtype=t) for r in rows)])
+    return join(1, np.uint64), join(2, np.int64), join(3, np.int32)
+
+
+def _by_document(ids: np.ndarray, values: np.ndarray) -> pa.Table:
+    """(id, found): the values of each document, packed."""
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    first, length = _groups(ids)
+    return pa.table({"id": pa.array(ids[first]), "found": pa.array([values[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist())], pa.binary())})
+
+
+FOUND = "id long, found binary"
+
+
+def shared_anchors(rows: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
+    """(id, found): packed anchors that a document of rows (id, text) shares with another; several rows a document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mail, anchors, ids, held = _Mail(bits), [], [], 0
+
+        def send() -> pa.RecordBatch:
+            nonlocal anchors, ids, held
+            keys, docs = np.concatenate([np.zeros(0, dtype=np.uint64), *anchors]), np.concatenate([np.zeros(0, dtype=np.int64), *ids])
+            order = np.lexsort((docs, keys))
+            keys, docs = keys[order], docs[order]
+            first, length = _groups(keys)
+            # an anchor of two documents here is shared: its rows are settled, the shard hears of it in one row
+            several = docs[first] != docs[first + length - 1]
+            mail.ask(keys[first], docs[first], several)
+            at = np.repeat(several, length)
+            mail.settle(keys[at], docs[at], np.zeros(int(at.sum()), dtype=np.int32))
+            anchors, ids, held = [], [], 0
+            return mail.batch()
+
         for batch in batches:
-            anchors, ids = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = np.unique(window_anchors(word_hashes(words_of(text.as_py())), window, gram))
                 anchors.append(own)
                 ids.append(np.full(len(own), doc, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(anchors).view(np.int64))], names=["id", "anchor"])
+                held += len(own)
+                if held > HELD:
+                    yield send()
+        if held:
+            yield send()
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys, ids, several = _opened(table, 0)
+        order = np.lexsort((ids, keys))
+        keys, ids, several = keys[order], ids[order], several[order] > 0
+        first, length = _groups(keys)
+        last = first + length - 1
+        both = (ids[first] != ids[last]) | (np.add.reduceat(several, first) > 0 if len(first) else np.zeros(0, dtype=bool))
+        at = np.repeat(both, length) & ~several
+        known = _opened(table, 1)
+        return _by_document(np.concatenate([ids[at], known[1]]), np.concatenate([keys[at], known[0]]))
 
-    return rows.mapInArrow(scan, "id long, anchor long")
+    return rows.mapInArrow(scan, MAIL).groupBy("shard").applyInArrow(answer, FOUND)
 
 
-def window_rows(seeded: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, key, start) for each window whose anchor is among the row's anchors. The key mixes anchor and window."""
+def repeated_windows(seeded: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
+    """(id, found): packed starts of windows that an earlier document has too, of rows (id, text, anchors)."""
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mail, held = _Mail(bits), 0
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def send() -> pa.RecordBatch:
+            nonlocal parts, held
+            keys, ids, starts = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((ids, keys))
+            keys, ids, starts = keys[order], ids[order], starts[order]
+            first, length = _groups(keys)
+            late = ids > np.repeat(ids[first], length)
+            mail.settle(keys[:0], ids[late], starts[late])
+            mail.ask(keys[~late], ids[~late], starts[~late])
+            parts, held = [], 0
+            return mail.batch()
+
         for batch in batches:
-            ids, keys, starts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)]
             for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 hashes = word_hashes(words_of(text.as_py()))
                 anchors = window_anchors(hashes, window, gram)
-                wanted = np.asarray(shared.values.to_numpy(), dtype=np.int64).view(np.uint64)
+                wanted = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in shared.as_py()])
                 at = np.flatnonzero(np.isin(anchors, wanted))
-                ids.append(np.full(len(at), doc, dtype=np.int64))
-                keys.append(mixed(gram_hashes(hashes, window)[at] ^ mixed(anchors[at])))
-                starts.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(starts))], names=["id", "key", "start"])
-
-    return seeded.mapInArrow(reach, "id long, key long, start int")
+                # anchor and window hash together make the key
+                parts.append((mixed(gram_hashes(hashes, window)[at] ^ mixed(anchors[at])), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32)))
+                held += len(at)
+                if held > HELD:
+                    yield send()
+        if held:
+            yield send()
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys, ids, starts = _opened(table, 0)
+        order = np.lexsort((ids, keys))
+        keys, ids, starts = keys[order], ids[order], starts[order]
+        first, length = _groups(keys)
+        late = ids > np.repeat(ids[first], length)
+        known = _opened(table, 1)
+        return _by_document(np.concatenate([ids[late], known[1]]), np.concatenate([starts[late], known[2]]))
+
+    return seeded.mapInArrow(reach, MAIL).groupBy("shard").applyInArrow(answer, FOUND)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
@@ -115,13 +211,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = rows.filter("id is not null")
-    ranges = anchor_ranges(named, window, gram).repartition("anchor").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    shared = stage(ranges.filter("low < high").select("anchor"), "op7-anchors")
-    seeds = anchor_rows(named, window, gram).join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-
-    windows = stage(window_rows(named.join(seeds, "id").select("id", "text", "anchors"), window, gram), "op7-windows")
-    first = windows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low")
-    hits = windows.join(first, "key").filter("id > low").groupBy("id").agg(F.collect_list("start").alias("starts"))
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(2, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
+    seeds = stage(shared_anchors(named, window, gram, bits), "op7-seeds").groupBy("id").agg(F.collect_list("found").alias("anchors"))
+    # both joins sort and merge, so they can share one exchange of the texts
+    seeded = named.hint("merge").join(seeds.hint("merge"), "id").select("id", "text", "anchors")
+    hits = repeated_windows(seeded, window, gram, bits).groupBy("id").agg(F.collect_list("found").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +225,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words = words_of(text.as_py())
                 n = len(words)
                 if starts.is_valid:
-                    at = starts.values.to_numpy()
+                    at = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in starts.as_py()]).astype(np.int64)
                     flags = removed_words(n, at[at + window <= n], window)
                     words = [w for w, f in zip(words, flags.tolist()) if not f]
                 kept = b" ".join(words)
@@ -140,7 +235,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 texts.append(kept.decode("utf-8", "surrogatepass") if with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    out = rows.join(hits, "id", "left").select("id", "text", "starts").mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    joined = named.hint("merge").join(hits.hint("merge"), "id", "left").select("id", "text", "starts")
+    alone = rows.filter("id is null").withColumn("starts", F.lit(None).cast("array<binary>"))
+    out = joined.unionByName(alone).mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text)
 
 
