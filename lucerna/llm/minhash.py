@@ -31,14 +31,12 @@ from lucerna.llm.components import connected_components
 
 SHINGLE = 5
 HASHES = 256
+#: Bands of rows minima; at most HASHES // ROWS bands.
 BANDS, ROWS = 24, 5
 PERCENT = 85
-#: Members of a bucket as similar as NEAR to their hub need no other hub. By the triangle inequality a text that is
-#: linked to such a member is at least as similar as FAR, and differences to the hub decide about all members above FAR.
-NEAR, FAR = 0.6, 0.45
+#: Members of a bucket as similar as NEAR to their hub need no other hub.
+NEAR = 0.75
 LATER_HUBS = 8
-#: Estimates this far below FAR go: six times sqrt((1 - J**2) / 256) at J = 0.45.
-SLACK = 0.33
 _U = np.uint64
 _FACTORS = np.random.default_rng(20240229).integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = np.random.default_rng(20240301).integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -92,15 +90,15 @@ def packed_bits(low: np.ndarray) -> np.ndarray:
     return np.packbits(spread.astype(np.uint8)).view(np.int64)
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
-    rows = low[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+def band_keys(low: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    rows = low[: bands * ROWS].astype(np.uint64).reshape(bands, ROWS)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
     for i in range(ROWS):
         key = mixed(key * _MIX[0] + rows[:, i])
     return key.view(np.int64)
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS) -> DataFrame:
     """A row per document: id, n, digest (of the set), bits (array of longs), keys (array of longs); no words: n = 0, the rest null."""
     id_type = df.schema[id_col].dataType.simpleString()
 
@@ -114,7 +112,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     low = minima(shingles)
                     digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                     bits.append(packed_bits(low))
-                    keys.append(band_keys(low))
+                    keys.append(band_keys(low, bands))
                 else:
                     digests.append(None)
                     bits.append(None)
@@ -130,24 +128,29 @@ def agreement(a: str, b: str) -> Column:
     return 1 - 2 * differing / HASHES
 
 
-def plausible(pairs: DataFrame, lean: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) whose estimate isn't far below FAR; lean has id and bits."""
+def far_from(percent: int) -> float:
+    """By the triangle inequality a text that is linked to one as similar as NEAR to a hub is at least this similar to
+    the hub; differences to the hub decide about all members above it."""
+    return NEAR - (1 - percent / 100)
+
+
+def plausible(pairs: DataFrame, lean: DataFrame, far: float) -> DataFrame:
+    """The candidate pairs (a, b) whose estimate isn't six standard errors below far; lean has id and bits."""
     side = lambda name: lean.select(F.col("id").alias(name), F.col("bits").alias(f"{name}bits"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(agreement("abits", "bbits") >= FAR - SLACK).select("a", "b")
+    return both.filter(agreement("abits", "bbits") >= far - 6 * ((1 - far**2) / HASHES) ** 0.5).select("a", "b")
 
 
 def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, shingles) of the documents in ids. Texts are joined by sort and merge at any size: ids grow with the data."""
     id_type = df.schema[id_col].dataType.simpleString()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).hint("merge").join(ids.hint("merge"), "id", "left_semi")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).hint("merge").join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "shingles"])
 
-    sets = texts.mapInArrow(hash_sets, f"id {id_type}, shingles binary")
-    return sets.groupBy("id").agg(F.max("shingles").alias("shingles"))
+    return texts.mapInArrow(hash_sets, f"id {id_type}, shingles binary")
 
 
 def _array(x: pa.Scalar) -> np.ndarray:
@@ -180,8 +183,8 @@ def similar(percent: float) -> Column:
     return F.col("common") * 100 >= (F.col("an") + F.col("bn") - F.col("common")) * percent
 
 
-def star_pairs(buckets: DataFrame, lean: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a: hub, b: member) of every bucket, compared, with similarity FAR or more; buckets has key, id, weight."""
+def star_pairs(buckets: DataFrame, lean: DataFrame, sets: DataFrame, far: float) -> DataFrame:
+    """(a: hub, b: member) of every bucket, compared, with similarity far or more; buckets has key, id, weight."""
     rows, found, r = buckets, None, 0
     while True:
         if r == 0:
@@ -191,7 +194,7 @@ def star_pairs(buckets: DataFrame, lean: DataFrame, sets: DataFrame) -> DataFram
             hubs = rows.withColumn("at", F.row_number().over(heaviest)).filter(f"at <= {LATER_HUBS}").select("key", F.col("id").alias("a"))
         members = stage(rows.join(hubs, "key").filter("id <> a"), f"op5-members-{r}")
         pairs = members.select("a", F.col("id").alias("b")).distinct()
-        checked = stage(compared(plausible(pairs, lean), sets).filter(similar(100 * FAR)), f"op5-checked-{r}")
+        checked = stage(compared(plausible(pairs, lean, far), sets).filter(similar(100 * far)), f"op5-checked-{r}")
         found = checked if found is None else found.unionByName(checked)
         near = checked.filter(similar(100 * NEAR)).select("a", F.col("b").alias("id"))
         settled = members.join(near, ["a", "id"], "left_semi").select("key", "id").unionByName(hubs.select("key", F.col("a").alias("id"))).distinct()
@@ -235,15 +238,15 @@ def residual_pairs(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Links join sets with 100 * intersection >= percent * union; component_id is the smallest id reachable. Null and
-    empty texts have no shingles, no links, and stand alone. Rows that repeat an id are one document, whose set is
-    that of its largest digest; rows without an id have no links and a null component_id, and are kept. Other columns
+    empty texts have no shingles, no links, and stand alone. Rows that repeat an id are one document, whose links are
+    confirmed on the largest of its texts; rows without an id have no links and a null component_id, and are kept. Other columns
     are ignored; an empty table gives no rows.
     """
-    signed = stage(signatures(df, id_col, text_col), "op5-signatures")
+    signed = stage(signatures(df, id_col, text_col, bands), "op5-signatures")
     one = signed.filter("n > 0 and id is not null")
     classes = stage(one.groupBy("n", "digest").agg(F.min("id").alias("rep")), "op5-classes")
     reps = one.join(classes.select(F.col("rep").alias("id"), "n", "digest"), ["id", "n", "digest"], "left_semi")
@@ -255,7 +258,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     weighed = stage(buckets.join(rank, "id").select("key", "id", "weight"), "op5-weighed")
     lean = stage(reps.select("id", "bits").join(rank, "id", "left_semi"), "op5-lean")
     sets = stage(full_sets(df, lean.select("id"), id_col, text_col), "op5-sets")
-    stars = stage(star_pairs(weighed, lean, sets), "op5-stars")
+    stars = stage(star_pairs(weighed, lean, sets, far_from(percent)), "op5-stars")
     links = stage(stars.filter(similar(percent)).select("a", "b"), "op5-links")
     labels = stage(connected_components(links), "op5-labels")
     rest = stage(residual_pairs(stars, labels, sets, percent), "op5-residual")
@@ -270,6 +273,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+    """df's rows of the documents that near_duplicates keeps, and all rows without an id."""
+    kept = near_duplicates(df, id_col, text_col, percent, bands).filter("kept").select(id_col).filter(F.col(id_col).isNotNull()).distinct()
+    named = df.filter(F.col(id_col).isNotNull()).hint("merge").join(kept.hint("merge"), id_col, "left_semi")
+    return named.select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
