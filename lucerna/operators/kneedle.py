@@ -60,12 +60,17 @@ def bigram_curve(items: Column) -> Column:
 
 def knee(curve: Column) -> Column:
     """The knee of a curve, counted from 1; null if there is none or the curve has fewer than three points."""
+    # bound once by a lambda, so the curve is computed once however often it is used
+    return F.get(F.transform(F.array(curve), _knee_of), 0)
+
+
+def _knee_of(curve: Column) -> Column:
     n = F.size(curve)
     low, high = F.get(curve, 0), F.try_element_at(curve, F.lit(-1))
     spread = (high - low).cast("double")
-    gains = F.transform(curve, lambda y, i: F.struct((F.try_divide(y - low, spread) - F.try_divide(i, n - 1)).alias("gain"), (-i).alias("at")))
-    best = F.array_max(gains)
-    return F.when(n < 3, F.lit(None).cast("int")).when(F.abs(spread) < 1e-10, F.lit(1)).when(best["gain"] < LEAST_GAIN, F.lit(None).cast("int")).otherwise((1 - best["at"]).cast("int"))
+    best = F.array_max(F.transform(curve, lambda y, i: F.struct((F.try_divide(y - low, spread) - F.try_divide(i, n - 1)).alias("gain"), (-i).alias("at"))))
+    found = F.when(best["gain"] < LEAST_GAIN, F.lit(None).cast("int")).otherwise((1 - best["at"]).cast("int"))
+    return F.when(n < 3, F.lit(None).cast("int")).when(F.abs(spread) < 1e-10, F.lit(1)).otherwise(found)
 
 
 def _fingerprint(text: str) -> int:

@@ -18,6 +18,7 @@ from lucerna.operators.mixed import explode_sections, is_mixed
 from lucerna.operators.prose import ScorerFactory, compress_prose
 from lucerna.operators.search import compress_search
 from lucerna.plans.options import Options
+from lucerna.sources.staging import staged
 
 STRATEGIES = {"json_array": "smart_crusher", "prose": "kompress", "search": "search_compressor", "build": "log_compressor", "diff": "diff_compressor"}
 PASS = "passthrough"
@@ -68,8 +69,10 @@ def compress_blocks(blocks: DataFrame, options: Options = Options(), scorer: Sco
         known = once.join(hits, "block_id").select("block_id", "text", "result", "strategies")
         once = once.join(hits, "block_id", "left_anti")
 
-    mixed = once.filter(is_mixed(F.col("text")))
+    once = staged(_typed(once).withColumn("mixed", is_mixed(F.col("text"))), "blocks")
+    mixed = once.filter("mixed").select("block_id", "text")
     sections = explode_sections(mixed).withColumn("sid", F.concat_ws(":", "block_id", F.col("section_no").cast("string")))
+    sections = staged(sections, "sections")
     plain = F.col("content_type").isin("text", "source_code")
     done = dispatch(sections.filter(~plain).select(F.col("sid").alias("block_id"), F.col("content").alias("text"), "content_type"), options, scorer).withColumnRenamed("block_id", "sid")
     parts = sections.join(done, "sid", "left").withColumn("part", F.coalesce("result", "content"))
@@ -78,7 +81,7 @@ def compress_blocks(blocks: DataFrame, options: Options = Options(), scorer: Sco
     names = F.concat(F.array(F.lit("mixed")), F.array_compact(F.transform("parts", lambda p: p["strategy"])))
     whole = mixed.join(whole, "block_id").filter(F.col("units") < utf16_length(F.col("text"))).select("block_id", "text", joined.alias("result"), names.alias("strategies"))
 
-    single = _typed(once.filter(~is_mixed(F.col("text")))).filter("content_type <> 'text'")
+    single = once.filter("not mixed and content_type <> 'text'")
     one = single.select("block_id", "text").join(dispatch(single.select("block_id", "text", "content_type"), options, scorer), "block_id")
     fewer = (F.col("result") != F.col("text")) & (token_estimate(F.col("result")) < token_estimate(F.col("text")))
     one = one.filter(F.col("result").isNotNull() & fewer).select("block_id", "text", "result", F.array("strategy").alias("strategies"))
@@ -102,7 +105,7 @@ def compress_parts(parts: DataFrame, options: Options = Options(), scorer: Score
         hits = cached.select(F.col("hash").alias("block_id"), F.col("compressed").alias("result"), F.col("strategy").alias("status"))
         found = found.unionByName(hits.join(once.select("block_id"), "block_id", "left_semi"))
         once = once.join(hits, "block_id", "left_anti")
-    typed = _typed(once)
+    typed = staged(_typed(once), "parts")
     done = typed.select("block_id", "text").join(dispatch(typed, options, scorer), "block_id")
     reverted = (token_estimate(F.col("result")) >= token_estimate(F.col("text"))) | (F.col("result") == F.col("text"))
     status = F.when(F.col("result").isNull(), "passthrough_disabled").when(reverted, "passthrough_revert").otherwise(F.col("strategy"))
