@@ -100,19 +100,35 @@ def _opened(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return join(1, np.uint64), join(2, np.int64), join(3, np.int32)
 
 
-def _by_document(ids: np.ndarray, values: np.ndarray) -> pa.Table:
-    """(id, found): the values of each document, packed."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    first, length = _groups(ids)
-    return pa.table({"id": pa.array(ids[first]), "found": pa.array([values[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist())], pa.binary())})
+def _answers(ids: np.ndarray, values: np.ndarray, bits: int) -> pa.Table:
+    """(bucket, ids, values): packed answers for each bucket of documents."""
+    bucket = mixed(ids.view(np.uint64)) >> np.uint64(64 - bits)
+    order = np.argsort(bucket, kind="stable")
+    bucket, ids, values = bucket[order], ids[order], values[order]
+    first, length = _groups(bucket)
+    cut = lambda x: pa.array([x[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist())], pa.binary())
+    return pa.table({"bucket": pa.array(bucket[first].astype(np.int32), pa.int32()), "ids": cut(ids), "values": cut(values)})
 
 
-FOUND = "id long, found binary"
+def _by_document(answers: DataFrame, kind: type) -> DataFrame:
+    """(id, found): a row a document with all of its values, packed, from rows (bucket, ids, values)."""
+
+    def unpack(table: pa.Table) -> pa.Table:
+        ids = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("ids")])
+        values = np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in table.column("values")])
+        order = np.argsort(ids, kind="stable")
+        ids, values = ids[order], values[order]
+        first, length = _groups(ids)
+        return pa.table({"id": pa.array(ids[first]), "found": pa.array([values[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist())], pa.binary())})
+
+    return answers.groupBy("bucket").applyInArrow(unpack, "id long, found binary")
+
+
+ANSWERS = "bucket int, ids binary, values binary"
 
 
 def shared_anchors(rows: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
-    """(id, found): packed anchors that a document of rows (id, text) shares with another; several rows a document."""
+    """(id, found): packed anchors that a document of rows (id, text) shares with another."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mail, anchors, ids, held = _Mail(bits), [], [], 0
@@ -151,9 +167,9 @@ def shared_anchors(rows: DataFrame, window: int, gram: int, bits: int) -> DataFr
         both = (ids[first] != ids[last]) | (np.add.reduceat(several, first) > 0 if len(first) else np.zeros(0, dtype=bool))
         at = np.repeat(both, length) & ~several
         known = _opened(table, 1)
-        return _by_document(np.concatenate([ids[at], known[1]]), np.concatenate([keys[at], known[0]]))
+        return _answers(np.concatenate([ids[at], known[1]]), np.concatenate([keys[at], known[0]]), bits)
 
-    return rows.mapInArrow(scan, MAIL).groupBy("shard").applyInArrow(answer, FOUND)
+    return _by_document(rows.mapInArrow(scan, MAIL).groupBy("shard").applyInArrow(answer, ANSWERS), np.uint64)
 
 
 def repeated_windows(seeded: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
@@ -179,7 +195,7 @@ def repeated_windows(seeded: DataFrame, window: int, gram: int, bits: int) -> Da
             for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 hashes = word_hashes(words_of(text.as_py()))
                 anchors = window_anchors(hashes, window, gram)
-                wanted = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in shared.as_py()])
+                wanted = np.frombuffer(shared.as_py(), dtype=np.uint64)
                 at = np.flatnonzero(np.isin(anchors, wanted))
                 # anchor and window hash together make the key
                 parts.append((mixed(gram_hashes(hashes, window)[at] ^ mixed(anchors[at])), np.full(len(at), doc, dtype=np.int64), at.astype(np.int32)))
@@ -196,9 +212,9 @@ def repeated_windows(seeded: DataFrame, window: int, gram: int, bits: int) -> Da
         first, length = _groups(keys)
         late = ids > np.repeat(ids[first], length)
         known = _opened(table, 1)
-        return _by_document(np.concatenate([ids[late], known[1]]), np.concatenate([starts[late], known[2]]))
+        return _answers(np.concatenate([ids[late], known[1]]), np.concatenate([starts[late], known[2]]), bits)
 
-    return seeded.mapInArrow(reach, MAIL).groupBy("shard").applyInArrow(answer, FOUND)
+    return _by_document(seeded.mapInArrow(reach, MAIL).groupBy("shard").applyInArrow(answer, ANSWERS), np.int32)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
@@ -213,10 +229,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = rows.filter("id is not null")
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(2, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
-    seeds = stage(shared_anchors(named, window, gram, bits), "op7-seeds").groupBy("id").agg(F.collect_list("found").alias("anchors"))
+    seeds = stage(shared_anchors(named, window, gram, bits), "op7-seeds").withColumnRenamed("found", "anchors")
     # both joins sort and merge, so they can share one exchange of the texts
     seeded = named.hint("merge").join(seeds.hint("merge"), "id").select("id", "text", "anchors")
-    hits = repeated_windows(seeded, window, gram, bits).groupBy("id").agg(F.collect_list("found").alias("starts"))
+    hits = repeated_windows(seeded, window, gram, bits).withColumnRenamed("found", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +241,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words = words_of(text.as_py())
                 n = len(words)
                 if starts.is_valid:
-                    at = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in starts.as_py()]).astype(np.int64)
+                    at = np.frombuffer(starts.as_py(), dtype=np.int32).astype(np.int64)
                     flags = removed_words(n, at[at + window <= n], window)
                     words = [w for w, f in zip(words, flags.tolist()) if not f]
                 kept = b" ".join(words)
@@ -236,7 +252,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     joined = named.hint("merge").join(hits.hint("merge"), "id", "left").select("id", "text", "starts")
-    alone = rows.filter("id is null").withColumn("starts", F.lit(None).cast("array<binary>"))
+    alone = rows.filter("id is null").withColumn("starts", F.lit(None).cast("binary"))
     out = joined.unionByName(alone).mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text)
 
