@@ -35,8 +35,10 @@ HASHES = 256
 BANDS, ROWS = 24, 5
 PERCENT = 85
 #: Members of a bucket as similar as NEAR to their hub need no other hub.
-NEAR = 0.75
+NEAR = 0.6
 LATER_HUBS = 8
+#: Pairs of ids (16 bytes each) that are sent to the sets rather than the sets to them, behind a count.
+SENT_PAIRS = 500_000
 _U = np.uint64
 _FACTORS = np.random.default_rng(20240229).integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = np.random.default_rng(20240301).integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -158,7 +160,10 @@ def _array(x: pa.Scalar) -> np.ndarray:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
-    """pairs (a, b) with common, an, bn: sizes of intersection and sets; with the array diff of a's and b's other elements, if asked for."""
+    """pairs (a, b) with common, an, bn: sizes of intersection and sets; with the array diff of a's and b's other elements, if asked for.
+
+    Only the sets of the pairs move, once for each pair, however many others there are.
+    """
     id_type = pairs.schema["a"].dataType.simpleString()
     names = ["a", "b", "common", "an", "bn", *["diff"] * differences]
 
@@ -175,7 +180,10 @@ def compared(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> Da
             columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (common, *sizes))]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(diffs, pa.list_(pa.int64()))] * differences], names=names)
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    pairs = stage(pairs, "op5-pairs")
+    sent = F.broadcast(pairs) if pairs.count() <= SENT_PAIRS else pairs.hint("merge")
+    side = lambda name, as_name: sets.select(F.col("id").alias(name), F.col("shingles").alias(as_name)).join(sent, name)
+    both = side("a", "x").hint("merge").join(side("b", "y").hint("merge"), ["a", "b"])
     return both.select("a", "b", "x", "y").mapInArrow(compare, f"a {id_type}, b {id_type}, common long, an long, bn long" + ", diff array<long>" * differences)
 
 
