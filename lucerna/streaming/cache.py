@@ -2,72 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lucerna.functions.text import content_key
 
 TTL_MS = 1_800_000
 OUTPUT = "hash string, seq long, action string, outcome string, compressed string, strategy string, ratio double"
+STATE = "compressed string, strategy string, ratio double, result_ms long, skip_ms long"
 
 
-class CacheProcessor(StatefulProcessor):
-    """Per content key: a compressed result or a skip mark, each with its time.
+def cache_step(ttl_ms: int = TTL_MS) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Per content key: a compressed result and a skip mark, each with its time.
 
-    Input rows (hash, seq, action, compressed, strategy, ratio, at_ms) with actions put, skip, move and get; a get
-    answers hit, skip_hit, miss or evicted. An entry is dead ttl ms after its time, by the rows' own clock.
+    Rows (hash, seq, action, compressed, strategy, ratio, at_ms) have the actions put, skip, move and get; a get answers
+    hit, skip_hit, miss or evicted. An entry is dead ttl_ms after its time, by the rows' own clock; the state of a key
+    that nobody asks for goes after as long by the cluster's clock.
     """
 
-    def __init__(self, ttl_ms: int = TTL_MS):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.result = handle.getValueState("result", "compressed string, strategy string, ratio double, at_ms long", self.ttl_ms)
-        self.skip = handle.getValueState("skip", "at_ms long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("seq")
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        compressed, strategy, ratio, made, skipped = state.get if state.exists else (None,) * 5
         out = []
-        for r in frame.itertuples():
-            answer = (None, None, None, None)
+        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
+            answer: tuple = (None, None, None, None)
             if r.action == "put":
-                self.result.update((r.compressed, r.strategy, float(r.ratio), int(r.at_ms)))
+                compressed, strategy, ratio, made = r.compressed, r.strategy, float(r.ratio), int(r.at_ms)
             elif r.action in ("skip", "move"):
-                if r.action == "move" and self.result.exists():
-                    self.result.clear()
-                self.skip.update((int(r.at_ms),))
+                skipped = int(r.at_ms)
+                made = None if r.action == "move" else made
+            elif skipped is not None and r.at_ms - skipped < ttl_ms:
+                answer = ("skip_hit", None, None, None)
             else:
-                answer = self._get(int(r.at_ms))
+                dead = skipped is not None or made is not None and r.at_ms - made >= ttl_ms
+                skipped = None
+                if made is not None and r.at_ms - made < ttl_ms:
+                    answer = ("hit", compressed, strategy, ratio)
+                else:
+                    made, answer = None, ("evicted" if dead else "miss", None, None, None)
             out.append((key[0], r.seq, r.action, *answer))
+        state.update((compressed, strategy, ratio, made, skipped))
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["hash", "seq", "action", "outcome", "compressed", "strategy", "ratio"])
 
-    def _get(self, now: int) -> tuple:
-        outcome = "miss"
-        if self.skip.exists():
-            if now - self.skip.get()[0] < self.ttl_ms:
-                return "skip_hit", None, None, None
-            self.skip.clear()
-            outcome = "evicted"
-        if not self.result.exists():
-            return outcome, None, None, None
-        compressed, strategy, ratio, at = self.result.get()
-        if now - at < self.ttl_ms:
-            return "hit", compressed, strategy, ratio
-        self.result.clear()
-        return "evicted", None, None, None
-
-    def close(self) -> None:
-        pass
+    return run
 
 
 def cache_operations(operations: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     """Answers to a stream of operations (text or hash, seq, action, compressed, strategy, ratio, at_ms)."""
     keyed = operations if "hash" in operations.columns else operations.withColumn("hash", content_key(F.col("text"))).drop("text")
-    return keyed.groupBy("hash").transformWithStateInPandas(CacheProcessor(ttl_ms), OUTPUT, "Update", "ProcessingTime")
+    return keyed.groupBy("hash").applyInPandasWithState(cache_step(ttl_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def counters(answers: DataFrame) -> DataFrame:
