@@ -6,7 +6,9 @@ orders, the same way in both engines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import text as T
@@ -16,6 +18,8 @@ from lucerna.plans import pipeline
 from lucerna.plans.options import Options
 from lucerna.sources import store
 from lucerna.sources.messages import messages_of, normalize_system
+from lucerna.sources.staging import shared_folder
+from lucerna.streaming import cache
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -226,6 +230,28 @@ def detect_synthesised(spark, sf_dir):
     return detect.detect(made).groupBy(F.col("detection.content_type").alias("content_type")).agg(F.count("*").alias("n"))
 
 
+_DETECTED = "SELECT block_id, {n} round(least(1.0, {c}), 6)::DOUBLE AS confidence FROM b WHERE {w}"
+
+
+@query("ref_op35_detect_search", rf"""
+WITH {_GREP}, b AS (SELECT block_id, sum(regexp_matches(raw, '^[^\s:]+:\d+:')::INT) AS m, count(*) AS t FROM gr WHERE idx < 100 GROUP BY block_id)
+""" + _DETECTED.format(n="CAST(m AS INT) AS matching_lines,", c="0.4 + m / t * 0.6", w="m > 0 AND m / t >= 0.3"))
+def detect_search(spark, sf_dir):
+    rows = grep_blocks(spark, sf_dir).select("block_id", detect.search_of(T.lines_of(F.col("text"))).alias("d")).filter("d is not null")
+    return rows.select("block_id", "d.matching_lines", F.round("d.confidence", 6).alias("confidence"))
+
+
+_LOG_HIT = r"regexp_matches(content, '(?i)\b(ERROR|FAIL|FAILED|FATAL|CRITICAL|WARN|WARNING|INFO|DEBUG|TRACE)\b|^\s*\d{4}-\d{2}-\d{2}|Traceback \(most recent call last\)')"
+
+
+@query("ref_op36_detect_log", rf"""
+WITH {_LOGS}, b AS (SELECT block_id, sum({_LOG_HIT}::INT) AS m, sum((trim(content) <> '')::INT) AS t, sum(regexp_matches(content, '(?i)\b(ERROR|FAIL|FAILED|FATAL|CRITICAL|WARN|WARNING)\b')::INT) AS e FROM ln WHERE idx < 200 GROUP BY block_id)
+""" + _DETECTED.format(n="CAST(m AS INT) AS pattern_matches, CAST(e AS INT) AS error_matches,", c="0.3 + m / t * 0.5 + e * 0.05", w="m > 0 AND m / t >= 0.1"))
+def detect_log(spark, sf_dir):
+    rows = log_blocks(spark, sf_dir).select("block_id", detect.log_of(T.lines_of(F.col("text"))).alias("d")).filter("d is not null")
+    return rows.select("block_id", "d.pattern_matches", "d.error_matches", F.round("d.confidence", 6).alias("confidence"))
+
+
 @query("ref_op100_mixed_indicator", r"""
 SELECT doc_id, (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^```\w*$'))) > 0)::INT + (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[\[{]'))) > 0)::INT
   + (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^.+?[:-]\d+[:-]'))) > 0)::INT + (len(regexp_extract_all(text, '[.!?]\s+[A-Z]')) > 5)::INT AS indicators FROM documents""")
@@ -541,6 +567,48 @@ def session_stats(spark, sf_dir):
     return s.select("session", "messages_processed", "tokens_consumed", "tokens_saved", "savings_pct", F.coalesce(F.try_element_at("compressor_hits", F.lit("user")), F.lit(0)).alias("user_hits"))
 
 
+# --- streaming ----------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, sf_dir, table: str, step, mode: str) -> DataFrame:
+    """What a streaming step makes of a table's files, read as a stream until none is left."""
+    source = spark.readStream.schema(load(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parquet*")
+    path = f"{shared_folder(spark)}/lucerna-stream-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    made = step(source)
+    # a batch that is run again overwrites its own folder; in complete mode each batch replaces all before
+    write = lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out/" + (f"batch={epoch}" if mode == "append" else "all"))
+    made.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{path}/out/" + ("*" if mode == "append" else "all"))
+
+
+@query("ref_op110_running_stats", "SELECT conv_id AS session, count(*) AS messages_processed, CAST(sum(length(text)) AS BIGINT) AS tokens_consumed, CAST(sum(length(text) // 3) AS BIGINT) AS tokens_saved FROM conversations GROUP BY conv_id")
+def running_stats(spark, sf_dir):
+    calls = lambda df: df.select(F.col("conv_id").alias("session"), F.length("text").cast("long").alias("tokens_consumed"), F.floor(F.length("text") / 3).alias("tokens_saved"))
+    return _streamed(spark, sf_dir, "conversations", lambda df: cache.running_stats(calls(df)), "complete")
+
+
+@query("ref_op107_cache_tiers", """
+WITH k AS (SELECT substr(sha256(text), 1, 24) AS hash, doc_id, lag(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS p FROM documents)
+SELECT hash, 2 * doc_id AS seq, CASE WHEN p IS NULL THEN 'miss' WHEN (doc_id - p) * 1000 < 100000 THEN 'hit' ELSE 'evicted' END AS outcome FROM k""")
+def cache_tiers(spark, sf_dir):
+    """Each document asks for its text and then puts it, a second after the one before; entries live 100 seconds."""
+
+    def step(df: DataFrame) -> DataFrame:
+        op = lambda action, n: F.struct((F.col("doc_id") * 2 + n).alias("seq"), F.lit(action).alias("action"), F.lit("c").alias("compressed"), F.lit("s").alias("strategy"), F.lit(0.5).alias("ratio"), (F.col("doc_id") * 1000).alias("at_ms"))
+        ops = df.select(T.content_key(F.col("text")).alias("hash"), F.explode(F.array(op("get", 0), op("put", 1))).alias("o")).select("hash", "o.*")
+        return cache.cache_operations(ops, 100_000, expire=False)
+
+    return _streamed(spark, sf_dir, "documents", step, "append").filter("action = 'get'").select("hash", "seq", "outcome")
+
+
+@query("ref_op111_event_windows", "SELECT strftime(time_bucket(INTERVAL 5 MINUTES, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4)::DOUBLE AS value FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    out = _streamed(spark, sf_dir, "events", cache.event_windows, "complete")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the live zone and blocks past the gate, by detected type."""
     z = pipeline.live_zone(load(spark, sf_dir, "conversations"))

@@ -16,7 +16,7 @@ OUTPUT = "hash string, seq long, action string, outcome string, compressed strin
 STATE = "compressed string, strategy string, ratio double, result_ms long, skip_ms long"
 
 
-def cache_step(ttl_ms: int = TTL_MS) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+def cache_step(ttl_ms: int = TTL_MS, expire: bool = True) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """Per content key: a compressed result and a skip mark, each with its time.
 
     Rows (hash, seq, action, compressed, strategy, ratio, at_ms) have the actions put, skip, move and get; a get answers
@@ -48,16 +48,20 @@ def cache_step(ttl_ms: int = TTL_MS) -> Callable[[tuple, Iterator[pd.DataFrame],
                     made, answer = None, ("evicted" if dead else "miss", None, None, None)
             out.append((key[0], r.seq, r.action, *answer))
         state.update((compressed, strategy, ratio, made, skipped))
-        state.setTimeoutDuration(ttl_ms)
+        if expire:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["hash", "seq", "action", "outcome", "compressed", "strategy", "ratio"])
 
     return run
 
 
-def cache_operations(operations: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
-    """Answers to a stream of operations (text or hash, seq, action, compressed, strategy, ratio, at_ms)."""
+def cache_operations(operations: DataFrame, ttl_ms: int = TTL_MS, expire: bool = True) -> DataFrame:
+    """Answers to a stream of operations (text or hash, seq, action, compressed, strategy, ratio, at_ms).
+
+    Without expire the state of idle keys stays, and a run over what is there now comes to an end.
+    """
     keyed = operations if "hash" in operations.columns else operations.withColumn("hash", content_key(F.col("text"))).drop("text")
-    return keyed.groupBy("hash").applyInPandasWithState(cache_step(ttl_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("hash").applyInPandasWithState(cache_step(ttl_ms, expire), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def counters(answers: DataFrame) -> DataFrame:
