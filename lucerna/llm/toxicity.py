@@ -24,8 +24,8 @@ from lucerna.llm.decontaminate import FOLD
 #: The sample of labelled rows that the classifier is fitted on, in order of a seeded hash of the id.
 MAX_LABELLED = 16_000
 MAX_FEATURES = 3_000
-MIN_DOCUMENTS = 6
-MIN_GAIN = 12.0
+MIN_DOCUMENTS = 3
+MIN_GAIN = 10.0
 L2 = 1.0
 SWAP_PENALTY = 4.0
 THRESHOLD = 0.3
