@@ -25,7 +25,8 @@ MAX_REPEATS = 3
 SEED = 17
 #: Patterns whose totals the driver may hold; a row each, of a few hundred bytes.
 MAX_PATTERNS = 50_000
-BUCKET_BITS = 12
+#: Bits of a document's place in the seeded order, and of the buckets that are summed.
+PLACE_BITS, BUCKET_BITS = 60, 12
 
 
 def targets_of(sizes: dict, weights: dict, total: float, cap: float = MAX_REPEATS) -> dict:
@@ -101,6 +102,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("long")
 
 
+def seeded_place(doc_id: Column, seed: int) -> Column:
+    """A document's place in the seeded order: the first 60 bits of the MD5 of id and seed."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, PLACE_BITS // 4), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """One row per document row: id, pattern, size, source_size, target, taken.
 
@@ -113,7 +120,7 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string"))))))
     rows = docs.select(F.col(id_col).alias("id"), pattern.alias("pattern"), word_count(F.col(text_col)).alias("size"))
-    rows = stage(rows.withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit(seed))), "op1-sizes")
+    rows = stage(rows.withColumn("h", seeded_place(F.col("id"), seed)), "op1-sizes")
 
     totals = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
@@ -132,7 +139,7 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     plan_type = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
     planned = F.broadcast(spark.createDataFrame(plan, plan_type))  # at most MAX_PATTERNS rows
 
-    bucket = F.shiftrightunsigned("h", 64 - BUCKET_BITS)
+    bucket = F.shiftright("h", PLACE_BITS - BUCKET_BITS)
     sums = rows.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = sums.withColumn("before", before).join(planned.select("pattern", "rest"), "pattern").filter("before <= rest and rest < before + words")
@@ -151,4 +158,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mix_sources": op1_mix_sources}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_mix_sources": rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}')) AS BIGINT) AS size,
+  CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{SEED}'), 1, {PLACE_BITS // 4})) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS size, CAST([5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS DOUBLE) AS w FROM d GROUP BY source),
+-- sources in the order in which they reach three times their size; the first k are capped, the others share the rest
+o AS (SELECT *, row_number() OVER c AS k, sum(3 * size) OVER c AS capped, sum(w) OVER c AS weight FROM s WINDOW c AS (ORDER BY 3 * size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT (SELECT sum(size) FROM s) AS t, (SELECT sum(w) FROM s) AS w),
+l AS (SELECT 0 AS k, a.t AS rest, a.w AS weight FROM a UNION ALL SELECT k, a.t - capped, a.w - weight FROM o, a),
+e AS (SELECT l.* FROM l LEFT JOIN o ON o.k = l.k + 1 WHERE o.k IS NULL OR l.rest * o.w / l.weight <= 3 * o.size ORDER BY l.k LIMIT 1),
+g AS (SELECT o.source, o.size, CASE WHEN o.k <= e.k THEN 3 * o.size ELSE e.rest * o.w / e.weight END AS target FROM o, e),
+f AS (SELECT d.doc_id, d.size, CAST(g.size AS BIGINT) AS source_size, g.target, CAST(floor(g.target) AS BIGINT) AS flow,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (flow // source_size + CASE WHEN flow % source_size > 0 AND before + size / 2 <= flow % source_size THEN 1 ELSE 0 END) END AS BIGINT) AS taken FROM f
+"""
+}
