@@ -254,3 +254,20 @@ def test_prose(spark):
     got = results(compress_prose(blocks(spark, text, "too short"), keep_even))
     assert got[0] == " ".join(f"word{i}" for i in range(0, 40, 2)) and got[1] is None
     assert results(compress_prose(blocks(spark, text))) == [None]
+
+
+def test_embed_and_token_count(spark):
+    from lucerna.operators.embed import embed, token_count
+    from lucerna.operators.relevance import cosine
+
+    df = spark.createDataFrame([(1, "aab"), (2, "b"), (3, None), (4, "aab")], "id int, text string")
+    model = lambda: lambda texts: [[t.count("a"), t.count("b")] for t in texts]
+    got = {r.id: list(r.embedding) for r in embed(df, model, dimensions=2).collect()}
+    assert got[1] == got[4] == pytest.approx([2 / 5**0.5, 1 / 5**0.5]) and got[2] == [0.0, 1.0] and got[3] == [0.0, 0.0]
+    assert len(embed(df).first().embedding) == 384
+    v = spark.createDataFrame([([1.0, 0.0], [0.6, 0.8]), ([1.0, 0.0], [-1.0, 0.0]), (None, [1.0])], "a array<float>, b array<float>")
+    assert [round(r.c, 6) for r in v.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [0.6, 0.0, 0.5]
+    words = lambda: lambda t: len(t.split()) if "!" not in t else 1 // 0
+    t = spark.createDataFrame([("a b c d",), ("wow!!!",)], "t string")
+    assert [r.n for r in t.select(token_count(F.col("t"), words).alias("n")).collect()] == [4, 2]
+    assert [r.n for r in t.select(token_count(F.col("t")).alias("n")).collect()] == [2, 2]
