@@ -22,8 +22,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_CLASS + "+", "")
 
 
-def _decided(df: DataFrame, id_col: str, text_col: str, partitions: int | None, carry: bool) -> DataFrame:
-    """Rows (id, keep_id, group_size, text_sha256, first, and row if carry); first: the one row of its group that stays."""
+def _decided(df: DataFrame, id_col: str, text_col: str, partitions: int | None, carry: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (id, keep_id, group_size, text_sha256, first, and row if carry) of all but the hot groups, and of those.
+
+    first marks the one row of its group that stays; in hot groups it marks all rows equal to that one in id and length.
+    """
     spark = df.sparkSession
     parts = partitions or shuffle_partitions(spark)
     row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] * carry
@@ -53,7 +56,7 @@ def _decided(df: DataFrame, id_col: str, text_col: str, partitions: int | None,
         *["row"] * carry,
     )
     if not hot:
-        return found
+        return found, None
     same = rows.filter(is_hot)
     rank = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
     keepers = same.groupBy("norm").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
@@ -61,7 +64,7 @@ def _decided(df: DataFrame, id_col: str, text_col: str, partitions: int | None,
     # a few rows of fixed width: at most 4 * parts keys are hot
     joined = same.select("id", "n", F.sha2("norm", 256).alias("text_sha256"), *["row"] * carry).join(F.broadcast(keepers), "text_sha256")
     best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("most"))
-    return found.unionByName(joined.withColumn("first", best).drop("n", "most"))
+    return found, joined.withColumn("first", best).drop("n", "most")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -72,15 +75,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     group. Rows that repeat id and text all count in group_size and share the decision. Other columns are ignored,
     an empty table gives no rows.
     """
-    found = _decided(df, id_col, text_col, partitions, False)
+    found, hot = _decided(df, id_col, text_col, partitions, False)
+    found = found if hot is None else found.unionByName(hot)
     kept = F.coalesce(F.col("id").eqNullSafe(F.col("keep_id")), F.lit(False))
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """df's rows, one of each group of equal texts: the one that exact_dedup keeps, and one alone of repeated rows."""
-    found = _decided(df, id_col, text_col, partitions, True).filter("first")
-    return found.groupBy("text_sha256").agg(F.first("row").alias("row")).select("row.*") if df.columns else df
+    found, hot = _decided(df, id_col, text_col, partitions, True)
+    kept = found.filter("first").select("row")
+    if hot is not None:
+        kept = kept.unionByName(hot.filter("first").groupBy("text_sha256").agg(F.first("row").alias("row")).select("row"))
+    return kept.select("row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
