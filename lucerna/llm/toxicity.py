@@ -185,12 +185,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _scored(docs: DataFrame, scorer: Scorer, columns: list[str], text_col: str) -> DataFrame:
     """(row: a struct of the columns, score)."""
     sent = docs.sparkSession.sparkContext.broadcast((dict(zip(scorer.index, scorer.weights)), scorer.bias))  # at most MAX_FEATURES weights
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text_col).alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    inside = columns.index(text_col) if text_col in columns else None  # the text goes to the workers once
+    rows = docs.select(row, *[F.col(text_col).alias("text")] * (inside is None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = Scorer(*sent.value)
         for batch in batches:
-            scores = [local.score(words_of(t.as_py())) for t in batch.column(1)]
+            texts = batch.column(1) if inside is None else batch.column(0).field(inside)
+            scores = [local.score(words_of(t.as_py())) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
