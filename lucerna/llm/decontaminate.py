@@ -8,13 +8,13 @@ bucket of the block's hash gives the few patterns to compare directly.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lucerna.llm.common import load
 
@@ -119,16 +119,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     shard of patterns is one narrow pass, which hands ranges and items so far to the next.
     """
     spark = docs.sparkSession
-    whole = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry else [id_col])])
-    out = docs.select(whole.alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<int>>)").alias("ranges"), F.expr("cast(array() as array<string>)").alias("items"))
-    schema = out.schema
-    for shard in shards_of(benchmark, item_col, item_text_col, shard_bytes):
+    columns = docs.columns if carry else [id_col, text_col]
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    at = columns.index(text_col)  # the text goes to the workers once, within the row
+    out = docs.select(whole.alias("row"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<int>>)").alias("ranges"), F.expr("cast(array() as array<string>)").alias("items"))
+    full = out.schema
+    bare = T.StructType([T.StructField("row", T.StructType([docs.schema[id_col]])), *full.fields[1:]])
+    shards = shards_of(benchmark, item_col, item_text_col, shard_bytes)
+    for k, shard in enumerate(shards):
         sent = spark.sparkContext.broadcast(shard)
+        last = k == len(shards) - 1 and not carry
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent, schema=schema) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             tables = WuManber(sent.value, width)
             for batch in batches:
-                texts, before, known = batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+                row, before, known = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                texts = row.field(at)
                 counts, ranges, items = [], [], []
                 for k in range(len(texts)):
                     words = words_of(texts[k].as_py())
@@ -136,9 +142,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                     counts.append(len(words))
                     ranges.append([list(r) for r in covered(hits + [tuple(r) for r in before[k]])])
                     items.append(sorted({*known[k], *map(str, found)}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+                if last:
+                    row = pa.StructArray.from_arrays([row.field(0)], names=[id_col])
+                yield pa.RecordBatch.from_arrays([row, pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], names=full.names)
 
-        out = out.mapInArrow(search, schema)
+        out = out.mapInArrow(search, bare if last else full)
     hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + (r[1] - r[0]))
     return out.select(F.col(f"row.`{id_col}`").alias(id_col), *["row"] * carry, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"), "ranges", "items")
 
