@@ -39,8 +39,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few files dealt out to all cores, for work that costs more than moving the rows; large scans stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def blocks(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
-    return load(spark, sf_dir, table).select(F.col(key).alias("block_id"), F.col(text).alias("text"))
+    return spread(load(spark, sf_dir, table)).select(F.col(key).alias("block_id"), F.col(text).alias("text"))
 
 
 # --- synthesised blocks -------------------------------------------------------------------------------------------
@@ -368,7 +374,7 @@ def simhash(spark, sf_dir):
 
 @query("ref_op70_optimal_k")
 def optimal_k(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", kneedle.optimal_k(T.lines_of(F.col("text")), most=30).alias("k"))
+    return spread(load(spark, sf_dir, "documents")).select("doc_id", kneedle.optimal_k(T.lines_of(F.col("text")), most=30).alias("k"))
 
 
 # --- relevance ----------------------------------------------------------------------------------------------------
