@@ -122,7 +122,10 @@ def skip_keys(token: str) -> list[str]:
 
 
 def skip_edges(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links from each token to the previous and to the first one that it resembles: at most two a key."""
+    """Links from each token to the previous and to the first one that it resembles: at most two a key.
+
+    Tokens at most a character apart are left out, as the chain links them.
+    """
     first: dict[str, int] = {}
     last: dict[str, int] = {}
     edges = set()
@@ -133,7 +136,7 @@ def skip_edges(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
             else:
                 first[key] = i
             last[key] = i
-    return sorted(e for e in edges if e[1] - e[0] > 1)
+    return sorted((i, j) for i, j in edges if spans[j][0] - spans[i][1] > 1)
 
 
 def silver(spans: list[tuple[int, int]], base: list[Span]) -> list[int]:

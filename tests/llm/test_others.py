@@ -270,6 +270,18 @@ def test_field_takes_fused_entities_apart_and_links_repeats(spark):
     assert pii.find_pii(df.limit(0), pii.fit(df.limit(0))).count() == 0
 
 
+def test_bare_repetition_is_found_through_its_only_mention(spark):
+    t = "call +1 (555) 123-4567 or at the place 555-123-4567"
+    assert pii.skip_edges(t, pii.tokens_of(t)) == [(2, 3)]
+    chained = "bob@example.com bob@example.com, the bob@example.com"
+    assert pii.skip_edges(chained, pii.tokens_of(chained)) == [(0, 2), (1, 2)]
+    assert pii.skip_edges("abcdef1@", [(0, 8)]) == []
+    rows = [(i, f"the place +1 {200 + i}-555-{1000 + i} of the house +1 {200 + i}-555-{1000 + i} and {20 + i}-{30 + i} of {i}.") for i in range(300)]
+    field = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert pii.joined(field.spans(t, pii.base_spans(t))) == "phone:5:22,phone:39:51"
+    assert field.spans("the place 555-123-4567", []) == []
+
+
 def test_marginals_spread_over_skip_edges():
     import numpy as np
 
