@@ -14,7 +14,6 @@ import urllib.parse
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
@@ -23,7 +22,8 @@ from pyspark.sql import functions as F
 
 from lucerna.llm.common import load, shuffle_partitions, stage, workspace
 
-SEGMENT_BYTES = 64 << 10
+#: Below the usual page, so that most pages are cut and put together again.
+SEGMENT_BYTES = 2 << 10
 FILE_BYTES = 16 << 20
 CHUNK_BYTES = 8 << 10
 DATE = "2020-01-01T00:00:00Z"
@@ -190,35 +190,51 @@ def payload_of(block: bytes, digest: str) -> bytes:
 def reassemble(records: DataFrame, with_payload: bool = False) -> DataFrame:
     """A row per page record: id, bytes, digest, type, refers, and payload if asked for.
 
-    Only the records of cut blocks move, by origin identifier; a group is one page. Missing or repeated segments, a
+    Only the records of cut blocks move, by origin identifier; one page is held at a time. Missing or repeated segments, a
     wrong total length, broken framing and wrong digests raise ValueError.
     """
     schema = "id string, bytes long, digest string, type string, refers string" + ", payload binary" * with_payload
     names = ["id", "bytes", "digest", "type", "refers", *["payload"] * with_payload]
 
+    def batched(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.binary()] * with_payload]
+        columns = list(zip(*out)) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 payload = payload_of(r["block"], r["digest"]) if r["type"] == "response" else None
                 out.append((r["id"], r["bytes"] if payload is None else len(payload), r["digest"], r["type"], r["refers"], *[payload] * with_payload))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.binary()] * with_payload]
-            columns = list(zip(*out)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("number")
-        if list(group.number) != list(range(1, len(group) + 1)):
-            raise ValueError(f"segments of {group.origin.iloc[0]} are missing or repeated")
-        block = b"".join(group.block)
-        if group.total.iloc[-1] != len(block):
-            raise ValueError(f"{group.origin.iloc[0]} has {len(block)} bytes, not {group.total.iloc[-1]}")
-        first = group.iloc[0]
-        payload = payload_of(block, first.digest)
-        return pd.DataFrame([(first.id, len(payload), first.digest, first.type, first.refers, *[payload] * with_payload)], columns=names)
+            yield batched(out)
+
+    def page(group: list[dict]) -> tuple:
+        origin = group[0]["origin"]
+        if [r["number"] for r in group] != list(range(1, len(group) + 1)):
+            raise ValueError(f"segments of {origin} are missing or repeated")
+        block = b"".join(r["block"] for r in group)
+        if group[-1]["total"] != len(block):
+            raise ValueError(f"{origin} has {len(block)} bytes, not {group[-1]['total']}")
+        first = group[0]
+        payload = payload_of(block, first["digest"])
+        return first["id"], len(payload), first["digest"], first["type"], first["refers"], *[payload] * with_payload
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if group and r["origin"] != group[0]["origin"]:
+                    out.append(page(group))
+                    group = []
+                group.append(r)
+            yield batched(out)
+        yield batched([page(group)] if group else [])
 
     plain = records.filter("number = 0").mapInArrow(whole, schema)
-    return plain.unionByName(records.filter("number > 0").groupBy("origin").applyInPandas(joined, schema))
+    cut = records.filter("number > 0").repartition("origin").sortWithinPartitions("origin", "number")
+    return plain.unionByName(cut.mapInArrow(joined, schema))
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:

@@ -163,6 +163,15 @@ def test_archives_round_trip(spark, segment):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_production_segments_cut_most_pages(spark):
+    folder = workspace(spark, "test-warc")
+    pages = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("cast(page_id as string) id", "url", "html", "cast(null as string) refers")
+    records = warc.read_archives(spark.createDataFrame(warc.write_archives(pages, folder).collect()), folder)
+    assert records.filter("number > 0").select("origin").distinct().count() > pages.count() / 2
+    got = {r.id: r.payload for r in warc.reassemble(records, with_payload=True).collect()}
+    assert got == {r.id: r.html.encode() for r in pages.collect()}
+
+
 def test_damaged_segments_are_found(spark):
     folder = workspace(spark, "test-warc")
     pages = spark.createDataFrame([("1", "u", "y" * 1000, None)], "id string, url string, html string, refers string")
