@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers that score.
+"""Interpolated modified Kneser-Ney models of order 2 and 3, counted in Spark and memory-mapped by the workers that score.
 
 Words are 64-bit hashes; the sorted array of training words numbers them, so a bigram is an exact 64-bit key. Counting
 tasks send packed sorted arrays, a few rows a task, to shards of the key space; a shard is merged by one task and
@@ -6,8 +6,8 @@ written as a sorted hash array with its counts. Hashed keys spread a frequent wo
 context and continuation counts go the same way to dense arrays indexed by word number. Scoring maps the files from
 the shared folder: nothing that grows with the corpus is collected or broadcast.
 
-Order 2 is what the disk budget carries: on text of this kind trigrams are nearly all distinct, and their counts would
-take several times the input.
+The query scores by order 3. Its trigrams are nearly all distinct on text of this kind, so the model takes several
+times the input on disk; README has the measured figures.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from lucerna.llm.minhash import mixed, word_hashes
 
 PIECE_BYTES = 1 << 20
 BATCH_TOKENS = 1 << 20
-#: Training bytes for each shard of words, bigrams and dense arrays.
-WORD_BYTES, PAIR_BYTES = 192 << 20, 64 << 20
+#: Training bytes for each shard of words, bigrams and trigrams.
+WORD_BYTES, PAIR_BYTES, TRIGRAM_BYTES = 192 << 20, 64 << 20, 16 << 20
 DENSE = 1 << 20
 END = np.uint64(xxhash.xxh3_64_intdigest(b" "))  # no word has white space
 _U = np.uint64
@@ -250,15 +250,8 @@ class Scorer:
         return numbers, counts
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts all rows of docs and writes the model's files to the shared folder, which must be a mounted file system."""
-    spark = docs.sparkSession
-    folder = workspace(spark, "op6-model")
-    if urlparse(folder).scheme not in ("", "file"):
-        raise ValueError("workers map the model's files: spark.checkpoint.dir must be on a mounted file system")
-    rows = docs.select(F.col(text_col).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    word_bits, pair_bits = _bits(size, WORD_BYTES), _bits(size, PAIR_BYTES)
+def _train_words(rows: DataFrame, folder: str, word_bits: int) -> list:
+    """Counts the words of rows (text) into files: rows (shard, path, n, total, ends)."""
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, documents = [], 0, 0
@@ -282,7 +275,20 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         path = _put(folder, f"words-{shard:05d}", keys, counts.astype(np.uint32))
         return pa.table({"shard": pa.array([shard], pa.int32()), "path": [path], "n": [len(keys)], "total": [int(counts.sum())], "ends": [int(counts[keys == END].sum())]})
 
-    words = stage(rows.mapInArrow(count_words, PACKED).groupBy("shard").applyInArrow(write_words, "shard int, path string, n long, total long, ends long"), "op6-words").collect()
+    return stage(rows.mapInArrow(count_words, PACKED).groupBy("shard").applyInArrow(write_words, "shard int, path string, n long, total long, ends long"), "op6-words").collect()
+
+
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    """Counts all rows of docs and writes the model's files to the shared folder, which must be a mounted file system."""
+    spark = docs.sparkSession
+    folder = workspace(spark, "op6-model")
+    if urlparse(folder).scheme not in ("", "file"):
+        raise ValueError("workers map the model's files: spark.checkpoint.dir must be on a mounted file system")
+    rows = docs.select(F.col(text_col).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    word_bits, pair_bits = _bits(size, WORD_BYTES), _bits(size, PAIR_BYTES)
+
+    words = _train_words(rows, folder, word_bits)
     files = [(r.shard, r.path, r.n) for r in words]
     vocabulary, tokens, documents = sum(r.n for r in words), sum(r.total for r in words), sum(r.ends for r in words)
     if vocabulary >= (1 << 32) - 1:
@@ -350,7 +356,256 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     return Model(files, word_bits, [(r.shard, r.path, r.n) for r in pairs], pair_bits, [(r.block, r.path, r.n) for r in blocks], tokens, documents, pair_d, low_d, types, low_share)
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class TrigramCoder(Coder):
+    """Token runs as trigrams: two words of context."""
+
+    def __init__(self, files: list[tuple[int, str, int]], bits: int):
+        super().__init__(files, bits)
+        self.before = -1
+
+    def trigrams(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words before the contexts, contexts, words, word counts); a document starts behind two starts."""
+        context, word, counts = self(hashes, first)
+        before = np.r_[self.before, context[:-1]]
+        before[first] = self.words.size
+        self.before = context[-1]
+        return before, context, word, counts
+
+
+def trigrams_summed(keys: np.ndarray, before: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (pair key, word before it), sorted, with the sums of their counts."""
+    order = np.lexsort((before, keys))
+    keys, before, counts = keys[order], before[order], counts[order]
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (before[1:] != before[:-1])]) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], before[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def _slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The parts of sorted keys by shard."""
+    edges = [0, *np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits)).tolist(), len(keys)]
+    for shard, (a, b) in enumerate(zip(edges, edges[1:])):
+        if b > a:
+            yield shard, slice(a, b)
+
+
+class TrigramShard:
+    """Sorted pair keys with their raw counts and, behind each, the words before it with trigram counts; mapped."""
+
+    def __init__(self, path: str, pairs: int, trigrams: int):
+        at = 0
+
+        def take(kind: type, n: int) -> np.ndarray:
+            nonlocal at
+            found = np.memmap(path, dtype=kind, mode="r", offset=at, shape=(n,))
+            at += found.nbytes
+            return found
+
+        self.keys, self.raw, self.start = take(np.uint64, pairs), take(np.uint32, pairs), take(np.uint32, pairs + 1)
+        self.before, self.counts = take(np.uint32, trigrams), take(np.uint32, trigrams)
+
+    def find(self, keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(raw count, continuation count, trigram count) of pairs and the words before them; 0 where there is none."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        hit = self.keys[at] == keys
+        low, high = self.start[at].astype(np.int64), self.start[at + 1].astype(np.int64)
+        raw, cont, end = np.where(hit, self.raw[at], 0), np.where(hit, high - low, 0), high.copy()
+        while (low < high).any():  # a binary search in each pair's part, all at once
+            mid = (low + high) // 2
+            less = (low < high) & (self.before[np.minimum(mid, len(self.before) - 1)] < before)
+            low, high = np.where(less, mid + 1, low), np.where(less, high, np.minimum(high, mid))
+        spot = np.minimum(low, len(self.before) - 1)
+        return raw, cont, np.where(hit & (low < end) & (self.before[spot] == before), self.counts[spot], 0)
+
+
+class TrigramModel:
+    """The files of a trained model of order 3, and the few numbers that they share. Pickles small."""
+
+    def __init__(self, words, word_bits, shards, contexts, bits, dense, tokens, documents, top_d, mid_d, low_d, types, low_share):
+        self.words, self.word_bits, self.shards, self.contexts, self.bits, self.dense = words, word_bits, shards, contexts, bits, dense
+        self.tokens, self.documents, self.top_d, self.mid_d, self.low_d, self.types, self.low_share = tokens, documents, top_d, mid_d, low_d, types, low_share
+
+    def open(self) -> TrigramScorer:
+        return TrigramScorer(self)
+
+
+def _off(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.select([counts == 0, counts == 1, counts == 2], [0.0, d[0], d[1]], d[2])
+
+
+class TrigramScorer:
+    """Probabilities over mapped arrays: trigrams by raw counts, pairs and words by continuation counts."""
+
+    def __init__(self, m: TrigramModel):
+        self.m, self.code = m, TrigramCoder(m.words, m.word_bits)
+        self.size = self.code.words.size
+        self.shards = {shard: TrigramShard(path, pairs, trigrams) for shard, path, pairs, trigrams in m.shards}
+        self.contexts = {shard: (np.memmap(path, dtype=np.uint64, mode="r", shape=(n,)), np.memmap(path, dtype=np.uint32, mode="r", offset=8 * n, shape=(3, n))) for shard, path, n in m.contexts}
+        self.dense = {block: np.memmap(path, dtype=np.uint32, mode="r", shape=(5, n)) for block, path, n in m.dense}
+
+    def _dense(self, numbers: np.ndarray) -> np.ndarray:
+        """Continuation count, pair types of continuation count 1, 2, 3+ by context, and their sum: shape (5, n)."""
+        out = np.zeros((5, len(numbers)), dtype=np.float64)
+        block = numbers // DENSE
+        for b in np.unique(block[numbers >= 0]):
+            if int(b) in self.dense:
+                at = np.flatnonzero(block == b)
+                out[:, at] = self.dense[int(b)][:, numbers[at] % DENSE]
+        return out
+
+    def _trigrams(self, keys: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Raw, continuation and trigram counts of keys, sorted: shape (3, n)."""
+        out = np.zeros((3, len(keys)), dtype=np.float64)
+        for shard, part in _slices(keys, self.m.bits):
+            if shard in self.shards:
+                out[:, part] = self.shards[shard].find(keys[part], before[part])
+        return out
+
+    def _types(self, keys: np.ndarray) -> np.ndarray:
+        """Trigram types of count 1, 2, 3+ by context, of sorted keys: shape (3, n)."""
+        out = np.zeros((3, len(keys)), dtype=np.float64)
+        for shard, part in _slices(keys, self.m.bits):
+            if shard in self.contexts:
+                known, types = self.contexts[shard]
+                at = np.searchsorted(known, keys[part])
+                at[at == len(known)] = 0
+                out[:, part] = np.where(known[at] == keys[part], types[:, at], 0)
+        return out
+
+    def run(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, training count) of each token of a run."""
+        m = self.m
+        before, context, word, counts = self.code.trigrams(hashes, first)
+        distinct, back = np.unique(word, return_inverse=True)
+        cont = self._dense(distinct)[0]
+        p = ((cont - _off(cont, m.low_d)) / max(m.types, 1) + m.low_share / (self.size + 1))[back]
+
+        pair_c, trigram_c = np.zeros(len(word)), np.zeros(len(word))
+        at = np.flatnonzero((word >= 0) & (context >= 0))
+        keys = pair_keys(context[at], word[at])
+        order = np.lexsort((before[at], keys))
+        _, pair_c[at[order]], trigram_c[at[order]] = self._trigrams(keys[order], before[at][order])
+
+        heads, back = np.unique(context, return_inverse=True)
+        by = self._dense(heads)
+        share = np.where(by[4] > 0, (m.mid_d[0] * by[1] + m.mid_d[1] * by[2] + m.mid_d[2] * by[3]) / np.maximum(by[4], 1), 1.0)
+        p = (pair_c - _off(pair_c, m.mid_d)) / np.maximum(by[4], 1)[back] + share[back] * p
+
+        at = np.flatnonzero((before >= 0) & (context >= 0))
+        heads, back = np.unique(pair_keys(before[at], context[at]), return_inverse=True)
+        total = self._trigrams(heads, np.zeros(len(heads), dtype=np.int64))[0]
+        total[heads == pair_keys(np.array([self.size]), np.array([self.size]))] = m.documents
+        by = self._types(heads)
+        share = np.where(total > 0, (m.top_d[0] * by[0] + m.top_d[1] * by[1] + m.top_d[2] * by[2]) / np.maximum(total, 1), 1.0)
+        p[at] = np.where(total[back] > 0, (trigram_c[at] - _off(trigram_c[at], m.top_d)) / np.maximum(total, 1)[back], 0.0) + share[back] * p[at]
+        return np.log10(p), counts
+
+
+def train_trigrams(docs: DataFrame, text_col: str = "text") -> TrigramModel:
+    """A model of order 3 over all rows of docs; files as in train.
+
+    Trigrams go to the shard of their last two words, which has their continuation counts and, as each word but an end
+    is followed by another, the totals of contexts as raw counts of pairs. Types by context take a second exchange.
+    """
+    spark = docs.sparkSession
+    folder = workspace(spark, "op6-model")
+    if urlparse(folder).scheme not in ("", "file"):
+        raise ValueError("workers map the model's files: spark.checkpoint.dir must be on a mounted file system")
+    rows = docs.select(F.col(text_col).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    word_bits, bits = _bits(size, WORD_BYTES), _bits(size, TRIGRAM_BYTES)
+    words = _train_words(rows, folder, word_bits)
+    files = [(r.shard, r.path, r.n) for r in words]
+    vocabulary, tokens, documents = sum(r.n for r in words), sum(r.total for r in words), sum(r.ends for r in words)
+    if vocabulary >= (1 << 32) - 1:
+        raise ValueError("words are numbered with 32 bits")
+
+    def table_of(out: list[dict], kinds: dict[str, pa.DataType]) -> pa.Table:
+        return pa.table({k: pa.array([r.get(k) for r in out], t) for k, t in kinds.items()})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, parts, held = TrigramCoder(files, word_bits), [], 0
+
+        def send() -> pa.RecordBatch:
+            keys, before, counts = trigrams_summed(*(np.concatenate(x) for x in zip(*parts)))
+            out = [{"shard": s, "keys": keys[x].tobytes(), "before": before[x].astype(np.uint32).tobytes(), "counts": counts[x].astype(np.uint32).tobytes()} for s, x in _slices(keys, bits)]
+            return table_of(out, {"shard": pa.int32(), "keys": pa.binary(), "before": pa.binary(), "counts": pa.binary()}).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            for hashes, _, first in token_runs((0, t.as_py()) for t in batch.column(0)):
+                before, context, word, _ = code.trigrams(hashes, first)
+                parts.append((pair_keys(context, word), before.astype(np.uint32), np.ones(len(word), dtype=np.uint32)))
+                held += len(word)
+                if held > 2 * BATCH_TOKENS:
+                    yield send()
+                    parts, held = [], 0
+        if parts:
+            yield send()
+
+    made_kinds = {"shard": pa.int32(), "path": pa.string(), "n": pa.int64(), "trigrams": pa.int64(), "coded": pa.list_(pa.int64()), "block": pa.int32(), "kind": pa.int32(), "ids": pa.binary(), "values": pa.binary(), "keys": pa.binary()}
+
+    def write(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        join = lambda c, t: np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in table.column(c)])
+        keys, before, counts = trigrams_summed(join("keys", np.uint64), join("before", np.uint32), join("counts", np.uint32))
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        start = np.r_[first, len(keys)]
+        cont, own = np.diff(start), keys[first]
+        path = _put(folder, f"trigrams-{shard:05d}", own, np.add.reduceat(counts, first).astype(np.uint32), start.astype(np.uint32), before, counts.astype(np.uint32))
+        plain = unmixed(own)
+        context, word = (plain >> _U(32)).astype(np.int64), (plain & _U(0xFFFFFFFF)).astype(np.int64)
+        histogram = [int((x == k).sum()) for x in (counts, cont) for k in (1, 2, 3, 4)]
+        out: list[dict] = [{"shard": shard, "path": path, "n": len(own), "trigrams": len(keys), "coded": histogram}]
+        level = np.minimum(cont, 3)
+        for kind, ids, values in ((0, word, None), *((k, context[level == k], None) for k in (1, 2, 3)), (4, context, cont)):
+            distinct, back = np.unique(ids, return_inverse=True)
+            n = np.bincount(back, weights=values, minlength=len(distinct)).astype(np.uint32)
+            cuts = np.flatnonzero(np.diff(distinct // DENSE)) + 1
+            for i, v in zip(np.split(distinct, cuts), np.split(n, cuts)):
+                if len(i):
+                    out.append({"block": int(i[0] // DENSE), "kind": kind, "ids": (i % DENSE).astype(np.uint32).tobytes(), "values": v.tobytes()})
+        heads, back = np.unique(pair_keys(before, np.repeat(context, cont)), return_inverse=True)
+        level = np.minimum(counts, 3)
+        types = np.stack([np.bincount(back, weights=level == k, minlength=len(heads)).astype(np.uint32) for k in (1, 2, 3)])
+        out += [{"shard": s, "keys": heads[x].tobytes(), "values": types[:, x].tobytes()} for s, x in _slices(heads, bits)]
+        return table_of(out, made_kinds)
+
+    counted = rows.mapInArrow(count, "shard int, keys binary, before binary, counts binary")
+    made = stage(counted.groupBy("shard").applyInArrow(write, "shard int, path string, n long, trigrams long, coded array<long>, block int, kind int, ids binary, values binary, keys binary"), "op6-trigrams")
+    shards = made.filter("path is not null").select("shard", "path", "n", "trigrams", "coded").collect()
+
+    def write_contexts(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        keys = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("keys")])
+        types = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint32).reshape(3, -1) for x in table.column("values")], axis=1)
+        order = np.argsort(keys, kind="stable")
+        keys, types = keys[order], types[:, order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        path = _put(folder, f"contexts-{shard:05d}", keys[first], np.add.reduceat(types, first, axis=1).astype(np.uint32))
+        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [path], "n": [len(first)]})
+
+    contexts = stage(made.filter("keys is not null").select("shard", "keys", "values").groupBy("shard").applyInArrow(write_contexts, "shard int, path string, n long"), "op6-contexts").collect()
+
+    def write_dense(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        n = min(DENSE, vocabulary + 1 - block * DENSE)
+        dense = np.zeros((5, n), dtype=np.uint32)
+        for kind, ids, values in zip(table.column("kind").to_pylist(), table.column("ids"), table.column("values")):
+            dense[kind, np.frombuffer(ids.as_py(), dtype=np.uint32)] += np.frombuffer(values.as_py(), dtype=np.uint32)
+        path = _put(folder, f"dense-{block:05d}", dense)
+        c = dense[0]
+        return pa.table({"block": pa.array([block], pa.int32()), "path": [path], "n": [n], "types": [int(c.sum(dtype=np.uint64))], "coded": pa.array([[int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum())]], pa.list_(pa.int64()))})
+
+    blocks = stage(made.filter("kind is not null").select("block", "kind", "ids", "values").groupBy("block").applyInArrow(write_dense, "block int, path string, n long, types long, coded array<long>"), "op6-dense").collect()
+    types = sum(r.types for r in blocks)
+    low = [sum(r.coded[k] for r in blocks) for k in range(5)]
+    seen = [sum(r.coded[k] for r in shards) for k in range(8)]
+    top_d, mid_d, low_d = discounts(seen[:4]), discounts(seen[4:]), discounts(low[:4])
+    low_share = (low_d[0] * low[0] + low_d[1] * low[1] + low_d[2] * low[4]) / types if types else 1.0
+    return TrigramModel(files, word_bits, [(r.shard, r.path, r.n, r.trigrams) for r in shards], [(r.shard, r.path, r.n) for r in contexts], bits, [(r.block, r.path, r.n) for r in blocks], tokens, documents, top_d, mid_d, low_d, types, low_share)
+
+
+def score_texts(docs: DataFrame, model: Model | TrigramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Tokens are the words and one end; null counts as empty, whose only token is the end. Without training data every
@@ -382,7 +637,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    scored = score_texts(docs, train(docs.filter(~held)))
+    scored = score_texts(docs, train_trigrams(docs.filter(~held)))
     return scored.withColumn("held_out", held).drop("perplexity")
 
 

@@ -80,3 +80,53 @@ def test_query_beats_the_base_on_held_out_text(spark):
     assert [zlib.crc32(str(i).encode()) % 7 == 2 for i in out.doc_id] == out.held_out.tolist()
     held = out[out.held_out]
     assert held.score.sum() > held.base_score.sum()
+
+
+def brute3(train, held):
+    """Interpolated modified Kneser-Ney of order 3, by definition."""
+    seqs = [[w for w in (t or "").lower().split()] + ["</s>"] for t in train]
+    tri = Counter(x for s in seqs for x in zip(["<s>", "<s>", *s], ["<s>", *s], s))
+    bi = Counter((v, w) for _, v, w in tri)
+    uni = Counter(w for _, w in bi)
+    vocabulary = {w for s in seqs for w in s}
+    d_of = lambda values: ngram.discounts([sum(c == k for c in values) for k in (1, 2, 3, 4)])
+    disc = lambda d, c: 0 if c == 0 else d[min(c, 3) - 1]
+
+    def level(counts, context, key, lower):
+        d = d_of(list(counts.values()))
+        own = [c for k, c in counts.items() if context(k)]
+        return (counts[key] - disc(d, counts[key])) / sum(own) + sum(disc(d, c) for c in own) / sum(own) * lower if own else lower
+
+    def p(u, v, w):
+        low = level(uni, lambda k: True, w, 1 / (len(vocabulary) + 1))
+        mid = level(bi, lambda k: k[0] == v, (v, w), low)
+        return level(tri, lambda k: k[:2] == (u, v), (u, v, w), mid)
+
+    out = []
+    for t in held:
+        s = [w for w in (t or "").lower().split()] + ["</s>"]
+        out.append(sum(math.log10(p(*x)) for x in zip(["<s>", "<s>", *s], ["<s>", *s], s)))
+    return out, [sum(p(*c, w) for w in [*vocabulary, "unseen"]) for c in (("<s>", "<s>"), ("on", "the"), ("x", "the"), ("q", "zz"))]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_trigram_scores_equal_the_definition(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(ngram, "PIECE_BYTES", 5)
+        monkeypatch.setattr(ngram, "BATCH_TOKENS", 3)
+    rows = [(i, t) for i, t in enumerate(TEXTS + ["unknown words here", "The mat\tsat on the", "the cat on the unknown mat sat on the cat", ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram.score_texts(df, ngram.train_trigrams(df.filter("doc_id < 8"))).collect()}
+    want, mass = brute3(TEXTS, [t for _, t in rows])
+    assert mass == pytest.approx([1.0] * 4)
+    assert [got[i].score for i, _ in rows] == pytest.approx(want)
+    assert [r.score for r in ngram.score_texts(df, ngram.train_trigrams(df.limit(0))).collect()] == [0.0] * len(rows)
+
+
+def test_query_scores_with_two_words_of_context(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    trained = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    want = {r.doc_id: r.score for r in ngram.score_texts(docs, ngram.train_trigrams(spark.createDataFrame([(t,) for t in trained], "text string"))).collect()}
+    got = {r.doc_id: r.score for r in ngram.op6_lm_scoring(spark, sf).collect()}
+    assert got == pytest.approx(want)
