@@ -1,10 +1,10 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by winnowed anchors and a join on window hashes.
 
 Seeds: every window of ``WINDOW`` words takes the least hash of its ``GRAM``-word grams as its anchor (winnowing), so a
 passage of WINDOW words in two documents has the same anchor in both. Anchors are joined across documents; those of
-one document alone go. Extend: from every shared anchor a document reaches out both ways, word by word, over the
-windows that hold this anchor; a window that an earlier document has as well carries the repeat on. The covered words
-are the union of such windows: maximal repeats of at least WINDOW words.
+one document alone go. Windows: each window with a shared anchor is hashed whole and joined on this 64-bit key; one that
+an earlier document has as well is a repeat. No match is extended by comparing words: the removed words are the union
+of such windows, which covers repeats of at least WINDOW words as far as they go, barring collisions of the keys.
 
 Both joins are exchanges of packed arrays, a few rows a task and shard. A task settles what it can by itself and asks
 the shard of a key only once for each key that it has, so an anchor or a window that a third of the documents share
