@@ -42,6 +42,8 @@ ROUNDS = 30
 MENTIONS = 2
 #: Letters and digits that a repetition of a mail name has at least, and digits that resembling numbers end alike in.
 NAME_CHARS, TAIL_DIGITS = 6, 7
+#: Neighbouring tokens of these kinds make one span up to so many digits.
+MOST_DIGITS = {"card": 19, "phone": 15}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -290,8 +292,10 @@ class Field:
             kind, (a, b) = LABELS[k], trimmed(text, int(tokens.start[i]), int(tokens.end[i]))
             if a == b:
                 continue
-            if added and kind in ("card", "phone") and label[i - 1] == k and tokens.close[i]:
-                a = added.pop()[1]
+            if added and kind in MOST_DIGITS and label[i - 1] == k and tokens.close[i]:
+                whole = text[added[-1][1] : b]
+                if sum(map(whole.count, "0123456789")) <= MOST_DIGITS[kind]:
+                    a = added.pop()[1]
             added.append((kind, a, b))
         return sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -338,18 +342,21 @@ def with_mentions(text: str, base: list[Span]) -> tuple[str, list[Span]]:
     numbers = [s for s in base if s[0] in ("card", "phone")]
     if numbers:
         kind, a, b = rng.choice(numbers)
-        other, c, d = rng.choice(base)
-        left, right, label = text[a:b], text[c:d], other
-        if other == "email" or rng.random() < 0.3:
-            right, label = decoy_of("9" * rng.choice((4, 16)), rng), None
-        pair = [(left, kind), (right, label)]
-        if rng.random() < 0.5 and right[0] != "+":
+        one = text[a:b]
+        any_card = "".join(rng.choice("0123456789") for _ in range(15))
+        others = [("card", next(any_card + c for c in "0123456789" if luhn(any_card + c)))]
+        others.append((None, next(any_card + c for c in "5678901234" if not luhn(any_card + c))))
+        others.append((None, any_card[: rng.randrange(2, 5)]))
+        others += [("phone", decoy_of(one, rng))] * (kind == "phone") + [(k, text[c:d]) for k, c, d in base if k == "ip"][:1]
+        pair = [(kind, one), rng.choice(others)]
+        if rng.random() < 0.5 and one[0] != "+":
             pair.reverse()
-        if fused_ranges(f"{pair[0][0]} {pair[1][0]}") and not base_spans(f"{pair[0][0]} {pair[1][0]}"):
+        # a pattern that finds a card or a phone in the pair takes a wrong piece or leaves nothing to learn
+        if all(k == "ip" for k, _, _ in base_spans(" ".join(piece for _, piece in pair))):
             put(" and ")
-            put(*pair[0])
-            put(" ")
-            put(*pair[1])
+            for i, (label, piece) in enumerate(pair):
+                put(" " * i)
+                put(piece, label)
     return "".join(out), spans
 
 
