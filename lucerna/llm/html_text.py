@@ -1,9 +1,11 @@
 """Main text of web pages by two-pass block rules.
 
-A tokeniser cuts the page into blocks at block-level tags and notes each block's link characters, its landmark
-(article or main) and whether it stands in a region that is never article text. Pass 1 decides blocks by link
-density, length and stop-word density; pass 2 gives the short ambiguous ones the label of their nearest decided
-neighbours.
+A tokeniser cuts the page into blocks at block-level tags and notes each block's element, its link characters, its
+landmark (article or main) and whether it stands in a region that is never article text (menus, headers, footers,
+sidebars, notices, adverts, forms, comments, by element, role or class name). Pass 1 decides blocks by link density,
+length and stop-word density; pass 2 gives the short and the ambiguous ones the label of their nearest decided
+neighbours. Where a page has a landmark, blocks outside of it are surroundings, and within it pass 1 finds nothing bad,
+as a linked paragraph or a table of an article belongs to it; elsewhere the two passes decide alone.
 """
 
 from __future__ import annotations
@@ -32,20 +34,28 @@ STOP_WORDS = frozenset(
     "et les des une est pas dans qui au pour sur ce il du plus par je avec tout faire son mettre autre ne ou elle être nous vous ont cette "
     "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum".split()
 )
-#: Elements whose text is never article text, elements that part blocks, elements without content.
-SKIPPED = frozenset("nav header footer aside form script style noscript template iframe svg button select option textarea dialog menu object canvas audio video head title math map input label fieldset".split())
+#: Elements whose text is never article text.
+SKIPPED = frozenset("nav header footer aside form dialog menu head fieldset".split())
+#: Elements within a line whose content is not text of the line.
+SILENT = frozenset("script style noscript template iframe svg button select option textarea object canvas audio video title map label".split())
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
+#: Elements that part blocks, elements without content.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 LANDMARKS = frozenset(("article", "main"))
-#: Parts of class and id names of regions around an article.
+#: Elements of running text, where a link alone is no menu.
+PARAGRAPHS = frozenset("p blockquote pre figcaption dd h1 h2 h3 h4 h5 h6".split())
+#: Parts of class and id names of regions around an article, and parts that go with them. A name with any
+#: other part (has-sidebar, share-prices, entry-header) says something else.
 REGION_NAMES = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted related rail register replies search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split())
-ARTICLE_NAMES = frozenset("article entry post story content main body".split())
+NEUTRAL_NAMES = frozenset("area bar block bottom box btn button buttons column container element fixed floating form global group holder icons inner item items layer left link links list mobile module outer panel posts primary right row secondary section site slot sticky thread top unit wrap wrapper zone".split())
+#: Of these, those that an article may have itself.
+HEADER_NAMES = frozenset(("header", "masthead"))
 REGION_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?。！？](?:\s|$)")
@@ -57,7 +67,7 @@ class Block:
     link_chars: int
     landmark: int  # 0: none
     skipped: bool
-    heading: bool
+    tag: str  # the innermost block element
 
 
 @dataclass
@@ -66,8 +76,9 @@ class _Open:
 
     tag: str
     skip: bool
-    landmark: int = 0
-    heading: bool = False
+    landmark: int
+    block: str
+    silent: bool
 
 
 @dataclass
@@ -78,54 +89,64 @@ class _Reader:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
-    def close(self, landmark: int, skipped: bool, heading: bool) -> None:
-        text = " ".join(html.unescape("".join(self.parts)).split()) if self.parts else ""
+    def close(self, o: _Open) -> None:
+        text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            self.blocks.append(Block(text, self.linked, landmark, skipped, heading))
+            self.blocks.append(Block(text, self.linked, o.landmark, o.skip, o.block))
         self.parts, self.linked = [], 0
 
 
-def is_region(attributes: str) -> bool:
-    """Whether class, id or role names say that an element stands around the article."""
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
+def attributes_of(raw: str) -> dict[str, str]:
+    """Names in lower case and values; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), next((v for v in values if v), ""))
+    return out
+
+
+def is_region_name(name: str, inside: bool) -> bool:
+    """Whether a class or id name says that an element stands around the article; inside: within a landmark."""
+    parts = {p.lower() for p in _PART.findall(name)}
+    regions = parts & REGION_NAMES - (HEADER_NAMES if inside else frozenset())
+    return bool(regions) and all(p in REGION_NAMES or p in NEUTRAL_NAMES or p.isdigit() for p in parts)
+
+
+def is_region(raw: str, inside: bool = False) -> bool:
+    """Whether the attributes of an element say that it stands around the article, or is hidden."""
+    if not raw.strip(" /"):
         return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), next((v for v in values if v), "")
-        if name == "role" and value.lower() in REGION_ROLES or name == "hidden" and not value or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id"):
-            for one in value.split():
-                parts = {p.lower() for p in _PART.findall(one)}
-                if parts & REGION_NAMES and not (parts & ARTICLE_NAMES and not parts & {"comment", "comments", "ad", "ads", "related", "sidebar"}):
-                    return True
-    return False
+    found = attributes_of(raw)
+    if found.get("role", "").lower() in REGION_ROLES or "hidden" in found:
+        return True
+    return any(is_region_name(name, inside) for key in ("class", "id") for name in found.get(key, "").split())
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order. Broken markup is read as browsers do: what is left open ends with what holds it."""
-    reader, stack, at, landmarks = _Reader(), [], 0, 0
-    end, top = len(page), _Open("", False)
+    reader, at, landmarks = _Reader(), 0, 0
+    end, stack = len(page), [_Open("", False, 0, "", False)]
     opened: Counter = Counter()
-    in_link = False
+    link = 0  # the height of the stack at which a link is open; 0: none
 
-    def push(tag: str, skip: bool, landmark: int = 0) -> None:
-        above = stack[-1] if stack else top
-        stack.append(_Open(tag, skip or above.skip, landmark or above.landmark, above.heading or tag in HEADINGS))
+    def push(tag: str, skip: bool = False, landmark: int = 0, silent: bool = False) -> None:
+        above = stack[-1]
+        stack.append(_Open(tag, skip or above.skip, landmark or above.landmark, tag if tag in BLOCKS else above.block, silent or above.silent))
         opened[tag] += 1
 
     def cut(k: int) -> None:
+        nonlocal link
         for o in stack[k:]:
             opened[o.tag] -= 1
         del stack[k:]
-
-    def close() -> None:
-        o = stack[-1] if stack else top
-        reader.close(o.landmark, o.skip, o.heading)
+        if len(stack) < link:
+            link = 0
 
     def text(chunk: str) -> None:
-        reader.parts.append(chunk)
-        if in_link:
-            reader.linked += len(chunk.strip())
+        if not stack[-1].silent:
+            chunk = html.unescape(chunk)
+            reader.parts.append(chunk)
+            if link:
+                reader.linked += len(chunk.strip())
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -141,45 +162,43 @@ def blocks_of(page: str) -> list[Block]:
         if not m.group(4):
             break  # the page ends within a tag
         tag = tag.lower()
-        if tag in BLOCKS or tag in SKIPPED or tag == "br":
-            if tag == "br":
-                reader.parts.append(" ")
-                continue
-            close()
+        if tag == "br":
+            text(" ")
+            continue
+        if tag in BLOCKS or tag in SKIPPED:
+            reader.close(stack[-1])
         if m.group(1):
             if opened[tag]:
-                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             if tag == "a":
-                in_link = False
+                link = 0
             continue
         if tag in RAW:
             over = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = over.end() if over else end
             continue
         if tag == "a":
-            in_link = True
+            link = len(stack) if "href" in attributes_of(m.group(3)) else 0
         if tag in VOID or m.group(3).endswith("/") and tag not in BLOCKS:
             continue
-        inside = bool(stack and stack[-1].landmark)
+        inside = bool(stack[-1].landmark)
         if tag in LANDMARKS and not inside:
             # an article that starts in a region which was left open ends it
-            if stack and stack[-1].skip:
+            if stack[-1].skip:
                 cut(next(k for k, o in enumerate(stack) if o.skip))
             landmarks += 1
             push(tag, False, landmarks)
         elif tag in BLOCKS or tag in SKIPPED:
-            if tag == "p" and stack and stack[-1].tag == "p":
+            if tag == "p" and stack[-1].tag == "p":
                 cut(len(stack) - 1)
-            skip = tag in SKIPPED and not (tag == "header" and inside) or tag not in ("html", "body", "article", "main") and is_region(m.group(3))
-            if tag == "article" and inside and is_region(m.group(3)):
-                skip = True
-            push(tag, skip)
-            if tag == "body":
-                in_link = False
-        elif is_region(m.group(3)):
-            close()
+            named = (tag not in ("html", "body", "main") and (tag != "article" or inside)) and is_region(m.group(3), inside)
+            push(tag, tag in SKIPPED and not (tag == "header" and inside) or named)
+        elif tag in SILENT:
+            push(tag, silent=True)
+        elif tag != "a" and is_region(m.group(3), inside):
+            reader.close(stack[-1])
             push(tag, True)
-    close()
+    reader.close(stack[-1])
     return reader.blocks
 
 
@@ -189,7 +208,7 @@ def first_pass(block: Block) -> bool | None:
         return False
     density = min(1.0, block.link_chars / len(block.text))
     if density > LINK_BAD:
-        return False
+        return None if block.landmark or block.tag in PARAGRAPHS else False
     words = _WORD.findall(block.text.lower())
     if len(words) < LONG_WORDS:
         return None
@@ -211,7 +230,11 @@ def _nearest(blocks: list[Block], first: list[bool | None], order: range) -> lis
 
 
 def labels_of(blocks: list[Block]) -> list[bool]:
-    """Both passes. Blocks of a landmark ask neighbours within it alone, and count as article text if none is decided."""
+    """Both passes. Blocks of a landmark ask neighbours within it alone, and count as article text if none is decided.
+
+    The nearer neighbour decides; of two equally near ones, and for a heading, the one behind if it is article text.
+    Without any decided block on a page, all ambiguous ones count as its text.
+    """
     first = [first_pass(b) for b in blocks]
     lefts, rights = _nearest(blocks, first, range(len(blocks))), _nearest(blocks, first, range(len(blocks) - 1, -1, -1))
     has_landmark = any(b.landmark and not b.skipped for b in blocks)
@@ -222,11 +245,11 @@ def labels_of(blocks: list[Block]) -> list[bool]:
         if label is None:
             left, right = lefts[i], rights[i]
             if left is None and right is None:
-                label = bool(block.landmark) or not has_landmark and not any(first)
+                label = bool(block.landmark) or not any(first)
             elif left is None or right is None:
                 label = first[right if left is None else left]
-            elif i - left == right - i or block.heading:
-                label = first[right] or bool(block.landmark) and first[left]
+            elif i - left == right - i or block.tag in HEADINGS:
+                label = first[right] or block.tag not in HEADINGS and first[left]
             else:
                 label = first[left] if i - left < right - i else first[right]
         out.append(bool(label))

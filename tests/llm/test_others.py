@@ -210,6 +210,80 @@ def test_main_text():
     assert len(html_text.main_text("<article>" + "<p>a</p>" * 20_000)) == 20_000 * 3 - 2
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><h1>T</h1><a name="top"><p>One two.</p><p>Three</p></article>', "T|One two.|Three"),
+        ('<article><p>A b.</p><table class="share-prices"><tr><td>X</td><td>1</td></tr></table></article>', "A b.|X|1"),
+        ("<article><p>a <math><mi>x</mi></math> b</p></article>", "a x b"),
+        ("<article><p>One.</p><p><a href=x>all linked</a></p><ul><li><a href=y>source</a></li></ul></article>", "One.|all linked|source"),
+        ('<article><p style="overflow:hidden" title="hidden">One.</p><p hidden>no</p></article>', "One."),
+        ("<article><p>a<script>var x='<p>';</script>b <button>go</button> c</p></article>", "ab c"),
+        ("<article><header class=header><h1>T</h1></header><p>x</p><a href=q><p>y</p></article><p>z</p>", "T|x|y"),
+        ('<article><p>x &lt;b&gt; &amp;amp; 1 < 2</p><div class="comment-list"><p>hi</p></div><div id="adBlock">buy</div></article>', "x <b> &amp; 1 < 2"),
+    ],
+)
+def test_nothing_else_is_dropped(page, want):
+    assert html_text.main_text(page).replace("\n\n", "|") == want
+
+
+LONG = "The words of the page are here and they are many, as of the day that it was."
+
+
+def test_passes_decide_without_a_landmark():
+    menu = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(4))
+    body = f'<div class="has-sidebar"><ul>{menu}</ul><p>Menu words</p><h2>Head</h2><p>{LONG}</p><p>Short.</p><p><a href=x>whole link</a></p><p>{LONG}</p><ul>{menu}</ul><p>End</p></div>'
+    blocks = html_text.blocks_of(body)
+    first, both = [html_text.first_pass(b) for b in blocks], html_text.labels_of(blocks)
+    # the two passes drop menus and what is next to them alone, and keep what stands in the text
+    assert [b.text for b, x in zip(blocks, both) if x] == ["Head", LONG, "Short.", "whole link", LONG]
+    assert first.count(None) == 5 and first.count(False) == 8 and not all(both)
+    assert html_text.main_text(f"<article>{body}</article>").count("Link") == 8  # an article's own list stays
+
+
+def test_labels_equal_plain_rules():
+    """The passes against the rules written out block by block, on random pages."""
+    rng = random.Random(8)
+    for _ in range(400):
+        blocks = []
+        for _ in range(rng.randrange(0, 9)):
+            text = rng.choice([LONG, "short text", "twelve odd tokens " * 6, "1 2 3"])
+            blocks.append(html_text.Block(text, rng.choice([0, 0, 0, len(text), len(text) // 3]), rng.choice([0, 0, 1]), rng.random() < 0.2, rng.choice(["p", "li", "div", "h2"])))
+        if rng.random() < 0.6:
+            for b in blocks:
+                b.landmark = 0
+        decided = []
+        for b in blocks:
+            share, words = min(1, b.link_chars / len(b.text)), re.findall(r"[a-z]+", b.text.lower())
+            stops = len([w for w in words if w in html_text.STOP_WORDS])
+            paragraph = b.tag in ("p", "h2")
+            if b.skipped or share > 0.5 and not b.landmark and not paragraph:
+                decided.append("bad")
+            elif share > 0.2 or len(words) < 12 or stops * 10 < len(words) and not re.search(r"[.!?](\s|$)", b.text):
+                decided.append("?")
+            else:
+                decided.append("good")
+        marked = any(b.landmark and not b.skipped for b in blocks)
+        for i, (b, got) in enumerate(zip(blocks, html_text.labels_of(blocks))):
+            near = [(abs(i - j), j > i, decided[j]) for j, c in enumerate(blocks) if decided[j] != "?" and not c.skipped and c.landmark == b.landmark and j != i]
+            left, right = ([min([n for n in near if n[1] == side], default=None) for side in (False, True)])
+            want = decided[i]
+            if marked and not b.landmark:
+                want = "bad"
+            if want == "?":
+                if not near:
+                    want = "good" if b.landmark or "good" not in decided else "bad"
+                elif left is None or right is None:
+                    want = (left or right)[2]
+                elif b.tag == "h2":
+                    want = right[2]
+                elif left[0] == right[0]:
+                    want = "good" if "good" in (left[2], right[2]) else "bad"
+                else:
+                    want = min(left, right)[2]
+            assert got == (want == "good"), (i, blocks, decided)
+
+
 def test_html_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = {r.page_id: r for r in html_text.op8_html_text(spark, SF).collect()}
@@ -220,7 +294,10 @@ def test_html_query(spark):
         import html
 
         assert re.sub(r"\s+", "", out[p.page_id].text) == re.sub(r"\s+", "", html.unescape(want))
+        # the two passes alone find the same without the article element
+        assert html_text.main_text(p.html.replace("<article>", "<div>").replace("</article>", "</div>")) == out[p.page_id].text
     clash = pages.withColumn("text", F.lit("x"))
+    assert html_text.extract(clash.unionAll(clash)).count() == 2 * len(out)
     assert html_text.extract(clash.limit(0)).count() == 0 and html_text.extract(clash).columns == ["page_id", "url", "text", "n_chars"]
 
 
