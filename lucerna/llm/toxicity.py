@@ -1,14 +1,18 @@
 """Counterfactual-regularised toxicity classifier.
 
-A logistic model over the presence of words and word beginnings. Identity terms in labelled sentences are swapped for
-other terms of their group and the change of the score is penalised, so a neutral mention of a group doesn't raise it.
-Features are counted in Spark over a bounded, seeded sample of the labelled rows; the driver solves a model of at most
-MAX_FEATURES weights, and one narrow pass scores every whole text.
+A logistic model over the presence of words and word beginnings. In each labelled sentence that names a group the
+identity terms are swapped for other terms of their group and for nothing, and the squared change of the score is
+penalised, so that a neutral mention of a group doesn't raise it. A labelled document without such a sentence gives counterfactuals too: a
+seeded group's first term is put into a seeded sentence of it and swapped. Features are counted in Spark over a bounded,
+seeded sample of the labelled rows, changes are summed up there by the features that a swap gains and loses; the driver
+solves a model of at most MAX_FEATURES weights, and one narrow pass scores every whole text.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,7 +47,8 @@ IDENTITY_TERMS = (
     ("femmes", "hommes", "filles", "garçons"),
     ("frauen", "männer", "mädchen", "jungen"),
 )
-_GROUPS = {t.encode(): tuple(x.encode() for x in group) for group in IDENTITY_TERMS for t in group}
+Groups = tuple[tuple[str, ...], ...]
+_SENTENCE = re.compile(r"[.!?。！？\n]+")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -55,17 +60,40 @@ def features_of(word: bytes) -> tuple[bytes, ...]:
     return (word, *(word[:k] + b"*" for k in BEGINNINGS if len(word) >= k))
 
 
-def swapped(words: list[bytes]) -> list[list[bytes]]:
-    """The words with every identity term moved on by 1, 2, ... places in its group; none if there is no such term."""
-    found = [w for w in words if w in _GROUPS]
-    most = max((len(_GROUPS[w]) for w in found), default=1)
-    return [[(g := _GROUPS[w])[(g.index(w) + k) % len(g)] if w in _GROUPS else w for w in words] for k in range(1, most)]
+def group_index(groups: Groups) -> dict[bytes, tuple[bytes, ...]]:
+    """The group of each term, as words_of writes them."""
+    return {t.encode(): tuple(x.encode() for x in group) for group in groups for t in group}
+
+
+def swapped(words: list[bytes], terms: dict[bytes, tuple[bytes, ...]]) -> list[list[bytes]]:
+    """The words with every identity term moved on by 1, 2, ... places in its group, and without them; none if there is no such term.
+
+    Leaving the terms out keeps the terms of a group from gaining weight together.
+    """
+    found = [w for w in words if w in terms]
+    if not found:
+        return []
+    most = max(len(terms[w]) for w in found)
+    return [[w for w in words if w not in terms]] + [[(g := terms[w])[(g.index(w) + k) % len(g)] if w in terms else w for w in words] for k in range(1, most)]
+
+
+def counterfactuals(text: str | None, groups: Groups, terms: dict[bytes, tuple[bytes, ...]]) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """(sentence, sentence with swapped terms) of a text, as words; of a text without terms, one sentence gets a term first."""
+    sentences = [words_of(x) for x in _SENTENCE.split(text or "")]
+    named = [x for x in sentences if any(w in terms for w in x)]
+    if not named and groups:
+        seed = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
+        named = [[*sentences[seed // len(groups) % len(sentences)], groups[seed % len(groups)][0].encode()]]
+    for sentence in named:
+        for other in swapped(sentence, terms):
+            yield sentence, other
 
 
 class Scorer:
     """Scores word lists by feature weights; remembers the features of words it has met, within a bound."""
 
-    def __init__(self, weights: dict[bytes, float], bias: float):
+    def __init__(self, weights: dict[bytes, float], bias: float, swaps: int = 0):
+        self.swaps = swaps  # counterfactual sentences that it was fitted with
         self.index = {f: i for i, f in enumerate(weights)}
         self.weights, self.bias, self.memo = list(weights.values()), bias, {}
 
@@ -91,21 +119,21 @@ def held_out(doc_id: Column, mod: int = 4, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def fit_weights(rows: list[tuple[int, list[int], list[list[int]]]], n: int, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias from rows (label, features, features of each counterfactual), by accelerated gradient descent."""
+def fit_weights(rows: list[tuple[int, list[int]]], changes: list[tuple[list[int], list[int], int]], n: int, steps: int = 400, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the log loss of rows (label, features), L2 / 2 times the squared weights, and penalty
+    times the squared score change of each of changes (features gained, features lost, number of such swaps).
+
+    Accelerated gradient descent; the problem is convex.
+    """
     y = np.array([r[0] for r in rows], dtype=float)
     lengths = np.array([len(r[1]) for r in rows])
     at, cols = np.repeat(np.arange(len(rows)), lengths), np.array([i for r in rows for i in r[1]], dtype=np.int64)
-    swap_at, swap_cols, signs, k = [], [], [], 0
-    for _, own, others in rows:
-        for other in others:
-            gained, lost = set(other) - set(own), set(own) - set(other)
-            for i, s in [*((i, 1.0) for i in sorted(gained)), *((i, -1.0) for i in sorted(lost))]:
-                swap_at.append(k)
-                swap_cols.append(i)
-                signs.append(s)
-            k += 1
-    swap_at, swap_cols, signs = np.array(swap_at, dtype=np.int64), np.array(swap_cols, dtype=np.int64), np.array(signs)
+    changes = [c for c in changes if c[0] or c[1]]
+    k = len(changes) if penalty else 0
+    swap_at = np.array([i for i, (gained, lost, _) in enumerate(changes) for _ in (*gained, *lost)], dtype=np.int64)
+    swap_cols = np.array([c for gained, lost, _ in changes for c in (*gained, *lost)], dtype=np.int64)
+    signs = np.array([s for gained, lost, _ in changes for s in (*[1.0] * len(gained), *[-1.0] * len(lost))])
+    times = penalty * np.array([float(c[2]) for c in changes])
     prior = (y.sum() + 1) / (len(y) + 10)
     w, bias = np.zeros(n), math.log(prior / (1 - prior))
     # a diagonal bound on the curvature sets the steps
@@ -113,7 +141,7 @@ def fit_weights(rows: list[tuple[int, list[int], list[list[int]]]], n: int, step
     curve = 0.25 * np.bincount(cols, weights=busy[at] + 1, minlength=n) / 1.0 + L2
     if k:
         swaps = np.bincount(swap_at, minlength=k).astype(float)
-        curve += 2 * SWAP_PENALTY * np.bincount(swap_cols, weights=swaps[swap_at], minlength=n)
+        curve += 2 * np.bincount(swap_cols, weights=(swaps * times)[swap_at], minlength=n)
     bias_curve = 0.25 * float((busy + 1).sum()) + 1e-9
     v, vb, t = w.copy(), bias, 1.0
     for _ in range(steps):
@@ -122,19 +150,22 @@ def fit_weights(rows: list[tuple[int, list[int], list[list[int]]]], n: int, step
         g = np.bincount(cols, weights=miss[at], minlength=n) + L2 * v
         if k:
             change = np.bincount(swap_at, weights=signs * v[swap_cols], minlength=k)
-            g += 2 * SWAP_PENALTY * np.bincount(swap_cols, weights=signs * change[swap_at], minlength=n)
+            g += 2 * np.bincount(swap_cols, weights=signs * (change * times)[swap_at], minlength=n)
         fresh, fresh_bias, u = v - g / curve, vb - miss.sum() / bias_curve, (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, vb = fresh + (t - 1) / u * (fresh - w), fresh_bias + (t - 1) / u * (fresh_bias - bias)
         w, bias, t = fresh, fresh_bias, u
     return w, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, groups: Groups = IDENTITY_TERMS, penalty: float = SWAP_PENALTY) -> Scorer:
     """Fits on the labelled documents outside the held-out fold, at most max_labelled of them.
 
     A document labelled twice is toxic if one label says so; null ids and labels are skipped. Without labelled rows
-    of both classes the scorer has a bias alone, (positives + 1) / (rows + 10).
+    of both classes the scorer has a bias alone, (positives + 1) / (rows + 10). Features are the max_features that tell the
+    classes apart best, from MIN_DOCUMENTS documents and a gain (G statistic) of MIN_GAIN on, and the identity terms of
+    groups with their beginnings.
     """
+    terms = group_index(groups)
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("id is not null and y is not null").filter(~held_out(F.col("id")))
     ids = ids.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_labelled)
     chosen = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(stage(ids, "op2-ids")), "id").select("text", "y"), "op2-sample")  # max_labelled ids at most
@@ -162,24 +193,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gain = 2 * (part("t", f"n * {positives} / {rows}D") + part("n - t", f"n * {rows - positives} / {rows}D") + part(f"{positives} - t", f"({rows} - n) * {positives} / {rows}D") + part(f"{rows - positives} - (n - t)", f"({rows} - n) * {rows - positives} / {rows}D"))
     best = counts.filter("octet_length(feature) > 0").withColumn("gain", gain).filter(F.col("gain") >= MIN_GAIN).orderBy(F.col("gain").desc(), "feature").limit(max_features)
     names = [bytes(r.feature) for r in best.select("feature").collect()]
-    names += [f for f in _GROUPS if f not in set(names)]
-    scorer = Scorer(dict.fromkeys(names, 0.0), 0.0)
-    index = scorer.index
+    names = list(dict.fromkeys([*names, *terms]))
+    index = {f: i for i, f in enumerate(names)}
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = Scorer(dict.fromkeys(index, 0.0), 0.0)
         for batch in batches:
-            own, others = [], []
+            own = [sorted(local.present(words_of(t.as_py()))) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["y", "own"])
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = Scorer(dict.fromkeys(index, 0.0), 0.0)
+        for batch in batches:
+            seen: Counter = Counter()
             for text in batch.column(0):
-                words = words_of(text.as_py())
-                own.append(sorted(local.present(words)))
-                others.append([sorted(local.present(x)) for x in swapped(words)])
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int64())))], names=["y", "own", "others"])
-
-    sample = [(int(r.y == 1), list(r.own), [list(x) for x in r.others]) for r in chosen.mapInArrow(project, "y long, own array<long>, others array<array<long>>").collect()]  # max_labelled rows of ids
-    sample.sort()
-    w, bias = fit_weights(sample, len(names))
-    return Scorer({f: float(x) for f, x in zip(names, w) if x}, bias)
+                for sentence, other in counterfactuals(text.as_py(), groups, terms):
+                    before, after = local.present(sentence), local.present(other)
+                    seen[tuple(sorted(after - before)), tuple(sorted(before - after))] += 1
+            columns = [pa.array([list(c[k]) for c in seen], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(seen.values()), pa.int64())], names=["gained", "lost", "n"])
+
+    sample = sorted((int(r.y == 1), list(r.own)) for r in chosen.mapInArrow(project, "y long, own array<long>").collect())  # max_labelled rows of ids
+    # distinct pairs of terms, and of beginnings that a sentence has besides
+    changes = chosen.mapInArrow(change, "gained array<long>, lost array<long>, n long").groupBy("gained", "lost").agg(F.sum("n").alias("n")).collect()
+    changes = sorted((list(r.gained), list(r.lost), r.n) for r in changes)
+    w, bias = fit_weights(sample, changes, len(names), penalty=penalty)
+    return Scorer({f: float(x) for f, x in zip(names, w) if x}, bias, sum(c[2] for c in changes))
 
 
 def _scored(docs: DataFrame, scorer: Scorer, columns: list[str], text_col: str) -> DataFrame:

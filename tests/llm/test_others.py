@@ -115,12 +115,73 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_swap_penalty_shrinks_identity_weights():
-    rows = [(1, [0, 1], [[0, 2], [0, 3]]), (1, [1], [[2], [3]]), (0, [4], []), (0, [2], [[1], [3]]), (0, [], [])] * 20
-    w, _ = toxicity.fit_weights(rows, 5)
-    free, _ = toxicity.fit_weights([(y, f, []) for y, f, _ in rows], 5)
+    rows = [(1, [0, 1]), (1, [1]), (0, [4]), (0, [2]), (0, [])] * 20
+    changes = [([2], [1], 40), ([3], [1], 40), ([1], [2], 20), ([3], [2], 20)]
+    w, _ = toxicity.fit_weights(rows, changes, 5)
+    free, _ = toxicity.fit_weights(rows, [], 5)
     assert abs(w[1] - w[2]) < 0.25 * abs(free[1] - free[2])
 
 
+@pytest.mark.parametrize("penalty", [0.0, 4.0])
+def test_weights_minimise_the_objective(penalty):
+    """The objective written out row by row: no small step lowers it."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.random() < 0.4), sorted(set(rng.integers(0, 6, 3).tolist()))) for _ in range(60)]
+    changes = [([0], [1], 5), ([2, 3], [1], 2), ([], [4], 3)]
+    w, bias = toxicity.fit_weights(rows, changes, 6, steps=5000, penalty=penalty)
+
+    def objective(w, bias):
+        total = toxicity.L2 / 2 * sum(x * x for x in w)
+        for y, own in rows:
+            z = bias + sum(w[i] for i in own)
+            total += math.log(1 + math.exp(-z if y else z))
+        return total + sum(penalty * n * (sum(w[i] for i in gained) - sum(w[i] for i in lost)) ** 2 for gained, lost, n in changes)
+
+    best = objective(w, bias)
+    assert all(objective(w + rng.normal(0, 0.02, 6), bias + rng.normal(0, 0.02)) > best - 1e-6 for _ in range(100))
+
+
+def test_counterfactuals_of_sentences():
+    groups = (("men", "women", "boys"), ("black", "white"))
+    terms = toxicity.group_index(groups)
+    pairs = list(toxicity.counterfactuals("A man. The men, black or not! No one", groups, terms))
+    assert [b" ".join(b) for _, b in pairs] == [b"the or not", b"the women white or not", b"the boys black or not"] and all(a == [b"the", b"men", b"black", b"or", b"not"] for a, _ in pairs)
+    made = list(toxicity.counterfactuals("No one here", groups, terms))
+    assert made[0][1] == made[0][0][:3] == [b"no", b"one", b"here"]
+    assert made[1:] and all(a[:3] == b[:3] and a[3] != b[3] and terms[a[3]] == terms[b[3]] for a, b in made[1:])
+    assert list(toxicity.counterfactuals(None, (), {})) == [] and list(toxicity.counterfactuals(None, groups, terms))
+
+
+def test_penalty_lowers_false_alarms_on_neutral_mentions(spark):
+    """Labelled insults name a group more often than plain sentences do; neutral mentions are alarms without the penalty alone."""
+    rng = random.Random(12)
+    plain = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(12)]
+        toxic = i % 5 == 0
+        if toxic:
+            words[0] = rng.choice(["scoundrel", "blockhead"]) if rng.random() < 0.5 else words[0]
+            words[5] = "muslims"
+        elif i % 50 == 1:
+            words[5] = "muslims"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [" ".join([*(rng.choice(plain) for _ in range(11)), "muslims"]).encode().split() for _ in range(50)]
+    alarms = []
+    for penalty in (0.0, 4.0):
+        scorer = toxicity.fit(docs, marks, penalty=penalty)
+        assert scorer.swaps > 400  # sentences without a term give counterfactuals as well
+        alarms.append(sum(scorer.score(words) >= toxicity.THRESHOLD for words in neutral))
+    assert scorer.score([b"word1", b"scoundrel"]) >= toxicity.THRESHOLD
+    assert alarms[0] == 50 and alarms[1] == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     scorer = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
