@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import stage
+from lucerna.llm.common import stage, unstage
 
 
 def connected_components(edges: DataFrame, tag: str = "components", max_rounds: int = 100) -> DataFrame:
@@ -24,6 +24,7 @@ def connected_components(edges: DataFrame, tag: str = "components", max_rounds:
         small = large.join(low, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
         fresh = stage(small, f"{tag}-{r}")
         changed = fresh.join(pairs, ["u", "v"], "left_anti").limit(1).count() + pairs.join(fresh, ["u", "v"], "left_anti").limit(1).count()
+        unstage(pairs)
         pairs = fresh
         if not changed:
             break

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import load, stage
+from lucerna.llm.common import load, stage, unstage
 from lucerna.llm.components import connected_components
 
 SHINGLE = 5
@@ -37,6 +37,8 @@ PERCENT = 85
 #: Members of a bucket as similar as NEAR to their hub need no other hub.
 NEAR = 0.6
 LATER_HUBS = 8
+#: Rounds whose pairs are unions before they are written as one table.
+FOLDED = 8
 #: Pairs of ids (16 bytes each) that are sent to the sets rather than the sets to them, behind a count.
 SENT_PAIRS = 500_000
 _U = np.uint64
@@ -196,7 +198,7 @@ def star_pairs(buckets: DataFrame, lean: DataFrame, sets: DataFrame, far: float)
     rows, found, r = buckets, None, 0
     while True:
         if r == 0:
-            hubs = rows.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
+            hubs = rows.groupBy("key").agg(F.min_by("id", F.struct(-F.col("weight"), "id")).alias("a"))
         else:  # what is left is few texts far from one another: more hubs save rounds
             heaviest = Window.partitionBy("key").orderBy(F.col("weight").desc(), "id")
             hubs = rows.withColumn("at", F.row_number().over(heaviest)).filter(f"at <= {LATER_HUBS}").select("key", F.col("id").alias("a"))
@@ -212,8 +214,14 @@ def star_pairs(buckets: DataFrame, lean: DataFrame, sets: DataFrame, far: float)
             # a link shares none of the 23 others with probability 1e-6
             other = buckets.select("id", F.col("key").alias("other"))
             left = left.join(other, "id").filter("key <> other").select(F.xxhash64("key", "other").alias("key"), "id", "weight")
+        if r % FOLDED == FOLDED - 1:
+            found = stage(found, f"op5-found-{r}")
         open_keys = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        rows, r = stage(left.join(open_keys, "key"), f"op5-left-{r}"), r + 1
+        fresh = stage(left.join(open_keys, "key"), f"op5-left-{r}")
+        unstage(members)
+        if r:
+            unstage(rows)
+        rows, r = fresh, r + 1
         if not rows.limit(1).count():
             return found.dropDuplicates(["a", "b"])
 
@@ -222,7 +230,8 @@ def residual_pairs(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent
     """Pairs (a, b) of members of one hub and of different components that differences to the hub don't rule out."""
     label = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"{name}_component"))
     placed = stars.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    placed = placed.withColumn("a_component", F.coalesce("a_component", "a")).withColumn("b_component", F.coalesce("b_component", "b"))
+    # a hub may have a third of all members: its join is cut off here, so that it can be split, and sums are partial ones
+    placed = stage(placed.withColumn("a_component", F.coalesce("a_component", "a")).withColumn("b_component", F.coalesce("b_component", "b")), "op5-placed")
     spanning = placed.groupBy("a").agg(F.max(F.col("a_component") != F.col("b_component")).alias("open")).filter("open").select("a")
     placed = stage(placed.join(spanning, "a").select("a", "b", "b_component"), "op5-open")
     ratio = (100 - percent) / (100 + percent)

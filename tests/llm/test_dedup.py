@@ -102,6 +102,14 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_string_ids(spark):
+    texts = near_texts(random.Random(7))[:60]
+    name = lambda i: f"doc-{i:03d}"
+    df = spark.createDataFrame([(name(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    want, _ = components_of(texts, 85)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == {name(i): name(c) for i, c in enumerate(want)}
+
+
 def test_estimate_follows_similarity():
     rng = random.Random(5)
     base = [f"w{rng.randrange(9999)}" for _ in range(400)]
@@ -188,6 +196,6 @@ def test_decontamination_equals_brute_force(spark, shard):
         r = got[i]
         assert (r.n_words, r.n_hit, r.contaminated, r.items_sha256) == (n, hit, hit > 0, hashlib.sha256(ids.encode()).hexdigest()), i
     clean = decontaminate.drop_contaminated(df, bench, shard_bytes=shard)
-    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [i for i in got if not got[i].contaminated]
+    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == sorted(i for i in got if not got[i].contaminated)
     assert decontaminate.find_contamination(df, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
