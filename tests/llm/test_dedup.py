@@ -140,9 +140,10 @@ def brute_removed(texts, window):
     return out
 
 
-@pytest.mark.parametrize("held", [2_000_000, 50])
-def test_substring_dedup_equals_brute_force(spark, monkeypatch, held):
+@pytest.mark.parametrize("held, hot_after", [(2_000_000, None), (50, 3), (2_000_000, 0)])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, held, hot_after):
     monkeypatch.setattr(substring_dedup, "HELD", held)
+    monkeypatch.setattr(substring_dedup, "HELD_BYTES", held)
     rng = random.Random(7)
     words = [f"w{i}" for i in range(300)]
     passages = [[rng.choice(words) for _ in range(rng.randrange(10, 60))] for _ in range(8)]
@@ -154,12 +155,26 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, held):
             t += [rng.choice(words) for _ in range(rng.randrange(0, 20))] + p[rng.randrange(0, 8) :]
         texts.append(" ".join(t))
     texts += ["a " * 40, "a " * 30, texts[10]]
-    got = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(spark, texts, extra=True), with_text=True).collect()}
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(spark, texts, extra=True), with_text=True, hot_after=hot_after).collect()}
     for i, (n, gone, kept) in enumerate(brute_removed(texts, 13)):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (n, gone, kept), i
         assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_places_are_told_apart_by_words_alone():
+    """Where every hash is the same, the words around a place still decide."""
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = [[rng.choice("ab") for _ in range(9)] for _ in range(200)]
+    around = [w for t in texts for w in (x.encode() for x in t)]
+    ids, one = np.arange(200) // 2, np.ones(200, dtype=np.int64)
+    # windows of 7 words around a gram of 4 at word 2: windows 0, 1 and 2
+    late = substring_dedup.extended(ids, np.zeros(200, dtype=np.uint64), 2 * one, 2 * one, around, 7, 4)
+    for i, t in enumerate(texts):
+        assert late[i].tolist() == [any(ids[k] < ids[i] and texts[k][j : j + 7] == t[j : j + 7] for k in range(200)) for j in range(3)] + [False], i
+
+
 def test_substring_dedup_edges(spark):
     t = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(None, t), (3, t), (3, t), (8, t)], "doc_id long, text string")
