@@ -138,7 +138,7 @@ def detect(df: DataFrame, text_col: str = "text", out_col: str = "detection") ->
     """df with a detection struct. Null and blank texts are of type text with confidence 0. Rows never move."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     # the Arrow function gets null for all but the blocks that may be arrays
-    may = F.when(F.ltrim(trimmed(F.substring(t, 1, 200))).startswith("["), t)
+    may = F.when(t.rlike(rf"\A[{WHITE}]*\["), t)
     df = df.withColumn("__facts", json_array_facts(may)).withColumn("__lines", lines_of(t))
     lines, facts = F.col("__lines"), F.col("__facts")
     as_json = F.when(facts["items"].isNotNull(), detection("json_array", F.when(facts["dicts"], 1.0).otherwise(0.8), item_count=facts["items"], is_dict_array=facts["dicts"]))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.functions.text import content_key, lines_of, retrieve_hint, utf16_length
+from lucerna.functions.text import content_key, is_blank, lines_of, retrieve_hint, utf16_length
 from lucerna.operators.logs import explode_lines
 
 #: File headers, hunk headers, and file headers of diffs that have no "diff --git" line.
@@ -61,48 +58,47 @@ def trim_hunks(segmented: DataFrame, context: int = 3) -> DataFrame:
     return hunks.select("block_id", "file_id", "hunk_id", "changes", F.concat(F.array("header"), F.when(F.col("f").isNull(), bare).otherwise(body)).alias("lines"))
 
 
-def _plain_diff(text: str, hint: str, o: DiffOptions) -> str:
-    """Diffs without file lines: the first context lines of each run stay, hunks over the cap go in order."""
-    file_line, hunk_line = re.compile(PLAIN_HEADER), re.compile(HUNK_LINE[1:], re.A)
-    out: list[str] = []
-    hunks, run, dropped, inside = 0, 0, 0, False
-
-    def keep(line: str) -> None:
-        nonlocal dropped
-        if dropped:
-            out.append(f"[... {dropped + 1} context lines dropped{hint}]")
-            dropped = 0
-        out.append(line)
-
-    for line in text.split("\n"):
-        if file_line.match(line):
-            hunks, run, inside = 0, 0, False
-            keep(line)
-        elif hunk_line.match(line):
-            if dropped:
-                out.append(f"[... {dropped + 1} context lines dropped{hint}]")
-                dropped = 0
-            hunks, run = hunks + 1, 0
-            inside = hunks <= o.max_hunks_per_file
-            if inside:
-                out.append(line)
-        elif not inside:
-            dropped += 1
-        elif line[:1] in ("+", "-") and line:
-            run = 0
-            keep(line)
-        elif line.startswith(" ") or not line.strip():
-            run += 1
-            if run <= o.max_context_lines:
-                keep(line)
-            else:
-                dropped += 1
-        else:
-            run = 0
-            keep(line)
-    if dropped:
-        out.append(f"[... {dropped + 1} context lines dropped{hint}]")
-    return "\n".join(out)
+def plain_diffs(blocks: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
+    """(block_id, result) of diffs without file lines (block_id, text, hint), whatever their length.
+
+    Of each run of context lines the first ones stay, of each file's hunks the first ones; what goes is announced in
+    front of the next line that stays or hunk that starts, as one line more than it has.
+    """
+    o, order = options, Window.partitionBy("block_id").orderBy("idx")
+    so_far = lambda flag, window: F.sum(flag.cast("int")).over(window)
+    line = F.col("content")
+    rows = explode_lines(blocks).withColumn("is_file", line.rlike("^" + PLAIN_HEADER))
+    rows = rows.withColumn("is_hunk", ~F.col("is_file") & line.rlike(HUNK_LINE)).withColumn("file_id", so_far(F.col("is_file"), order))
+    hunk = so_far(F.col("is_hunk"), Window.partitionBy("block_id", "file_id").orderBy("idx"))
+    rows = rows.withColumn("hunk_id", hunk).withColumn("inside", ~F.col("is_file") & F.col("hunk_id").between(1, o.max_hunks_per_file))
+    context = ~F.col("is_file") & ~F.col("is_hunk") & ~line.rlike(r"^[+-]") & (line.startswith(" ") | is_blank(line))
+    rows = rows.withColumn("is_context", context).withColumn("run", so_far(~F.col("is_context"), order))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("block_id", "run", "is_context").orderBy("idx")))
+    kept = F.col("is_file") | (F.col("inside") & (~F.col("is_context") | (F.col("nth") <= o.max_context_lines)))
+    rows = rows.withColumn("kept", kept).withColumn("told", F.col("kept") | F.col("is_hunk"))
+    # the lines that go up to the next one that is told of, and that one
+    rows = rows.withColumn("part", F.coalesce(so_far(F.col("told"), order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = rows.groupBy("block_id", "part").agg(F.sum((~F.col("told")).cast("int")).alias("gone"), F.max(F.when(F.col("kept"), line)).alias("line"))
+    parts = parts.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("part", "gone", "line"))).alias("parts")).join(blocks.select("block_id", "hint"), "block_id")
+    note = lambda x: F.when(x["gone"] > 0, F.concat(F.lit("[... "), (x["gone"] + 1).cast("string"), F.lit(" context lines dropped"), F.col("hint"), F.lit("]")))
+    lines = F.flatten(F.transform("parts", lambda x: F.array_compact(F.array(note(x), x["line"]))))
+    return parts.select("block_id", F.array_join(lines, "\n").alias("result"))
+
+
+def top_hunks(hunks: DataFrame, most: int) -> DataFrame:
+    """Hunks (block_id, file_id, hunk_id, changes) with n (of the file) and place: those of most changes where there are too many."""
+    per_file = Window.partitionBy("block_id", "file_id")
+    hunks = hunks.withColumn("n", F.count("*").over(per_file)).withColumn("all_changes", F.sum("changes").over(per_file))
+    place = F.when(F.col("n") > most, F.row_number().over(per_file.orderBy(F.col("changes").desc(), "hunk_id"))).otherwise(F.col("hunk_id"))
+    return hunks.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def top_files(files: DataFrame, most: int) -> DataFrame:
+    """Files (block_id, file_id, changes) with n (of the block) and rank: those of most changes where there are too many."""
+    per_block = Window.partitionBy("block_id")
+    files = files.withColumn("n", F.count("*").over(per_block))
+    rank = F.when(F.col("n") > most, F.row_number().over(per_block.orderBy(F.coalesce("changes", F.lit(0)).desc(), "file_id"))).otherwise(F.col("file_id"))
+    return files.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
 def compress_diffs(blocks: DataFrame, options: DiffOptions = DiffOptions(), store: bool = False, id_col: str = "block_id", text_col: str = "text") -> DataFrame:
@@ -115,17 +111,9 @@ def compress_diffs(blocks: DataFrame, options: DiffOptions = DiffOptions(), stor
 
     rows = segment_diff(explode_lines(long.filter(has_files)))
     heads = rows.filter("hunk_id = 0").groupBy("block_id", "file_id").agg(F.sort_array(F.collect_list(F.struct("idx", "content"))).alias("head"))
-    hunks = trim_hunks(rows, o.max_context_lines)
-    per_file = Window.partitionBy("block_id", "file_id")
-    hunks = hunks.withColumn("n", F.count("*").over(per_file)).withColumn("all_changes", F.sum("changes").over(per_file))
-    place = F.when(F.col("n") > o.max_hunks_per_file, F.row_number().over(per_file.orderBy(F.col("changes").desc(), "hunk_id"))).otherwise(F.col("hunk_id"))
-    hunks = hunks.withColumn("place", place).filter(F.col("place") <= o.max_hunks_per_file)
+    hunks = top_hunks(trim_hunks(rows, o.max_context_lines), o.max_hunks_per_file)
     bodies = hunks.groupBy("block_id", "file_id").agg(F.first("n").alias("hunks"), F.first("all_changes").alias("changes"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "lines"))), lambda h: h["lines"])).alias("body"))
-    files = heads.join(bodies, ["block_id", "file_id"], "left")
-    per_block = Window.partitionBy("block_id")
-    files = files.withColumn("n", F.count("*").over(per_block))
-    rank = F.when(F.col("n") > o.max_files, F.row_number().over(per_block.orderBy(F.coalesce("changes", F.lit(0)).desc(), "file_id"))).otherwise(F.col("file_id"))
-    files = files.withColumn("rank", rank).filter(F.col("rank") <= o.max_files)
+    files = top_files(heads.join(bodies, ["block_id", "file_id"], "left"), o.max_files)
     blocks_ = files.groupBy("block_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "head", F.coalesce("body", F.expr("cast(array() as array<string>)")).alias("body"), F.coalesce("hunks", F.lit(0)).alias("hunks")))).alias("files"))
     done = blocks_.join(long.select("block_id", "hint"), "block_id")
     none = F.expr("cast(array() as array<string>)")
@@ -134,12 +122,7 @@ def compress_diffs(blocks: DataFrame, options: DiffOptions = DiffOptions(), stor
     one = lambda f: F.concat(F.transform(f["head"], lambda h: h["content"]), F.transform(f["body"], hinted), note(f["hunks"] - o.max_hunks_per_file, "hunks"))
     structured = done.select("block_id", F.array_join(F.concat(F.flatten(F.transform("files", one)), note(F.col("n") - F.size("files"), "files")), "\n").alias("result"))
 
-    @F.pandas_udf("string")
-    def plain(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, hints in batches:
-            yield pd.Series([_plain_diff(t, h, o) for t, h in zip(texts, hints)], dtype="object")
-
-    others = long.filter(~has_files).select("block_id", plain("text", "hint").alias("result"))
+    others = plain_diffs(long.filter(~has_files), o)
     found = structured.unionByName(others)
     shorter = F.col("result").isNotNull() & (utf16_length(F.col("result")) < utf16_length(F.col("text")))
     return base.join(found, "block_id", "left").select("block_id", F.when(shorter, F.col("result")).otherwise(F.col("text")).alias("result"))

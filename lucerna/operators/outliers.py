@@ -45,6 +45,19 @@ def pareto_head(fields: DataFrame) -> DataFrame:
     return sized.filter(F.col("k") <= MOST_HEAD).select("block_id", "key", "value")
 
 
+def rare_field_items(fields: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(block_id, item_idx) of items with a rare field, once for each."""
+    return fields.join(kinds.filter("is_rare").select("block_id", "key"), ["block_id", "key"], "left_semi").select("block_id", "item_idx")
+
+
+def rare_value_items(fields: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(block_id, item_idx) of items whose value of a common status-like field is outside the field's head, once for each."""
+    common = fields.join(kinds.filter("is_common").select("block_id", "key"), ["block_id", "key"], "left_semi")
+    head = pareto_head(common)
+    judged = common.join(head.select("block_id", "key").distinct(), ["block_id", "key"], "left_semi").withColumn("value", F.coalesce("value", F.lit(NONE)))
+    return judged.join(head, ["block_id", "key", "value"], "left_anti").select("block_id", "item_idx")
+
+
 def structural_outliers(fields: DataFrame, sizes: DataFrame) -> DataFrame:
     """(block_id, item_idx) of items with a rare field or a rare value of a common status-like field.
 
@@ -53,9 +66,4 @@ def structural_outliers(fields: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     fields = fields.join(sizes.filter(F.col("items") >= LEAST_ITEMS).select("block_id"), "block_id", "left_semi")
     kinds = field_kinds(fields, sizes)
-    rare = fields.join(kinds.filter("is_rare").select("block_id", "key"), ["block_id", "key"], "left_semi").select("block_id", "item_idx")
-    common = fields.join(kinds.filter("is_common").select("block_id", "key"), ["block_id", "key"], "left_semi")
-    head = pareto_head(common)
-    judged = common.join(head.select("block_id", "key").distinct(), ["block_id", "key"], "left_semi").withColumn("value", F.coalesce("value", F.lit(NONE)))
-    odd = judged.join(head, ["block_id", "key", "value"], "left_anti").select("block_id", "item_idx")
-    return rare.unionByName(odd).distinct()
+    return rare_field_items(fields, kinds).unionByName(rare_value_items(fields, kinds)).distinct()

@@ -44,13 +44,18 @@ def alpha(context: Column, base: float = 0.5) -> Column:
     return F.greatest(F.lit(0.3), F.least(F.lit(0.9), F.greatest(F.lit(base), least)))
 
 
+def matched_terms(item: Column, context: Column) -> Column:
+    """Terms of the context, repeats counted, that the item has too."""
+    return F.size(F.filter(tokens(context), lambda t: F.array_contains(tokens(item), t)))
+
+
 def hybrid(item: Column, context: Column, similarity: Column | None = None, base: float = 0.5) -> Column:
     """BM25 and vector similarity by alpha; without similarity BM25 with a floor for one and a boost for two matches."""
     score = bm25(item, context)
     if similarity is not None:
         a = alpha(context, base)
         return a * score + (1 - a) * similarity
-    matched = F.size(F.filter(tokens(context), lambda t: F.array_contains(tokens(item), t)))
+    matched = matched_terms(item, context)
     floored = F.when(matched >= 1, F.greatest(score, F.lit(0.3))).otherwise(score)
     return F.when(matched >= 2, F.least(F.lit(1.0), floored + 0.2)).otherwise(floored)
 

@@ -21,6 +21,9 @@ from lucerna.sources.messages import messages_of, normalize_system
 from lucerna.sources.staging import shared_folder
 from lucerna.streaming import cache
 
+#: Lines of a log block.
+LOG_LINES = 500
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -68,11 +71,12 @@ def log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((kind == "click") & (F.col("user_id") % 5 == 0), "")
         .otherwise(F.concat(stamp, F.lit(" "), F.when(kind == "error", "ERROR failed").when(kind == "purchase", "WARN slow").when(kind == "click", "DEBUG click").otherwise("INFO seen"), F.lit(" user="), user))
     )
-    return _gathered(e.select(F.date_format("ts", "yyyyMMdd").cast("long").alias("block_id"), "event_id", line.alias("line")), ["event_id"])
+    # a block has as many lines at any size of the table
+    return _gathered(e.select(F.floor(F.col("event_id") / LOG_LINES).cast("long").alias("block_id"), "event_id", line.alias("line")), ["event_id"])
 
 
 _LOGS = """
-ev AS (SELECT CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS block_id, event_id,
+ev AS (SELECT CAST(event_id // 500 AS BIGINT) AS block_id, event_id,
   CASE WHEN event_type = 'signup' AND user_id % 7 = 0 THEN 'Traceback (most recent call last):'
        WHEN event_type = 'view' AND user_id % 3 = 0 THEN '  File "x.py", line ' || user_id
        WHEN event_type = 'click' AND user_id % 5 = 0 THEN ''
@@ -96,13 +100,13 @@ gr AS (SELECT block_id, CAST(row_number() OVER (PARTITION BY block_id ORDER BY l
   file || s || CAST(line_no AS BIGINT) || s || content AS raw, CASE s WHEN '-' THEN 'context' ELSE 'match' END AS context_type FROM gl)"""
 
 
-def diff_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def diff_blocks(spark: SparkSession, sf_dir: str, git: bool = True) -> DataFrame:
     order = ["l_partkey", "l_orderkey", "l_linenumber", "l_quantity"]
     rows = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("block_id"), *order, "l_returnflag")
     part = F.col("l_partkey").cast("string")
     first = F.row_number().over(Window.partitionBy("block_id", "l_partkey").orderBy(*order, "l_returnflag")) == 1
     body = F.concat(F.when(F.col("l_returnflag") == "R", "+").when(F.col("l_returnflag") == "A", "-").otherwise(" "), F.lit("row "), F.col("l_orderkey").cast("string"))
-    head = F.concat(F.lit("diff --git a/p"), part, F.lit(" b/p"), part, F.lit("\n--- a/p"), part, F.lit("\n+++ b/p"), part, F.lit("\n@@ -1,9 +1,9 @@\n"))
+    head = F.concat(*([F.lit("diff --git a/p"), part, F.lit(" b/p"), part, F.lit("\n")] if git else []), F.lit("--- a/p"), part, F.lit("\n+++ b/p"), part, F.lit("\n@@ -1,9 +1,9 @@\n"))
     line = F.concat(F.when(first, head).when(F.col("l_linenumber") == 1, "@@ -2,9 +2,9 @@\n").otherwise(""), body)
     return _gathered(rows.withColumn("line", line), [*order, "l_returnflag"])
 
@@ -620,3 +624,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = pipeline.live_zone(load(spark, sf_dir, "conversations"))
     typed = detect.detect(z).withColumn("tokens", T.token_estimate(F.col("text")))
     return typed.groupBy(F.col("detection.content_type").alias("content_type")).agg(F.count("*").alias("blocks"), F.sum("tokens").alias("tokens"), F.sum((F.col("tokens") >= 200).cast("long")).alias("pass_gate"))
+
+
+from lucerna.plans import operator_queries  # noqa: E402,F401  registers the rest

@@ -10,7 +10,7 @@ from lucerna.functions.jsontext import number_text, render
 from lucerna.operators import kneedle as K
 from lucerna.operators.crush import CrushOptions, crush_arrays
 from lucerna.operators.detect import detect
-from lucerna.operators.diffs import DiffOptions, _plain_diff, compress_diffs
+from lucerna.operators.diffs import DiffOptions, compress_diffs, plain_diffs
 from lucerna.operators.logs import LogOptions, compress_logs, explode_lines, parse_log
 from lucerna.operators.mixed import is_mixed, sections_of
 from lucerna.operators.outliers import structural_outliers
@@ -224,7 +224,10 @@ def test_diffs(spark):
     assert got[3].count("diff --git") == 5 and "[... 10 files omitted" in got[3]
     combined = "\n".join(["diff --combined x", "@@@ -1,5 -1,5 +1,7 @@@", *[f" ctx {i} with some more text" for i in range(9)], "- import a", "++import b"])
     assert "@@@" in results(compress_diffs(blocks(spark, combined)))[0]
-    assert _plain_diff("x\n@@ -1 +1 @@\n a\n b\n+c", "", DiffOptions(max_context_lines=1)) == "[... 2 context lines dropped]\n@@ -1 +1 @@\n a\n[... 2 context lines dropped]\n+c"
+    plain = lambda text, **options: plain_diffs(spark.createDataFrame([(0, text, "")], "block_id int, text string, hint string"), DiffOptions(**options)).first().result
+    assert plain("x\n@@ -1 +1 @@\n a\n b\n+c", max_context_lines=1) == "[... 2 context lines dropped]\n@@ -1 +1 @@\n a\n[... 2 context lines dropped]\n+c"
+    two = "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n@@ -9 +9 @@\n+b\n c\nindex 0a..1b\n?\n@@ -1 +1 @@\n\n x\n y\n\\ no newline\n z"
+    assert plain(two, max_hunks_per_file=1, max_context_lines=2) == "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n[... 3 context lines dropped]\nindex 0a..1b\n[... 2 context lines dropped]\n@@ -1 +1 @@\n\n x\n[... 2 context lines dropped]\n\\ no newline\n z"
 
 
 def test_mixed(spark):
