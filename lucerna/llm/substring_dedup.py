@@ -44,6 +44,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def anchor_keys(anchors: np.ndarray) -> np.ndarray:
+    """Even keys of anchors. Anchors are minima, most of them small; their keys spread over all shards."""
+    return mixed(anchors) & _EVEN
+
+
 def window_anchors(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
     """The anchor of each window: the least gram hash in it; none if there are fewer words than a window."""
     if len(hashes) < window:
@@ -148,7 +153,7 @@ ANSWERS = "bucket int, ids binary, values binary"
 
 
 def shared_anchors(rows: DataFrame, window: int, gram: int, bits: int, hot_after: int) -> DataFrame:
-    """Answers of the anchors that a document of rows (id, text) shares with another; bucket -1 has the hot ones. Anchors are even."""
+    """Answers of the anchors that a document of rows (id, text) shares with another; bucket -1 has the hot ones. All are anchor_keys."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mail, anchors, ids, held = _Mail(bits), [], [], 0
@@ -169,7 +174,7 @@ def shared_anchors(rows: DataFrame, window: int, gram: int, bits: int, hot_after
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.unique(window_anchors(word_hashes(words_of(text.as_py())), window, gram) & _EVEN)
+                own = np.unique(anchor_keys(window_anchors(word_hashes(words_of(text.as_py())), window, gram)))
                 anchors.append(own)
                 ids.append(np.full(len(own), doc, dtype=np.int64))
                 held += len(own)
@@ -196,14 +201,15 @@ def shared_anchors(rows: DataFrame, window: int, gram: int, bits: int, hot_after
 
 
 def places_of(hashes: np.ndarray, wanted: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, place, first window, last window) of the leftmost wanted anchors of a text's windows, in order."""
-    anchors, grams = window_anchors(hashes, window, gram) & _EVEN, gram_hashes(hashes, gram) & _EVEN
-    at = np.flatnonzero(np.isin(anchors, wanted))
+    """(anchor key, place, first window, last window) of the leftmost wanted anchors of a text's windows, in order."""
+    anchors, grams = window_anchors(hashes, window, gram), gram_hashes(hashes, gram)
+    keys = anchor_keys(anchors)
+    at = np.flatnonzero(np.isin(keys, wanted))
     if not len(at):
-        return anchors[:0], at, at, at
+        return keys[:0], at, at, at
     place = at + (grams[at[:, None] + np.arange(window - gram + 1)] == anchors[at][:, None]).argmax(axis=1)
     first, length = _groups(place)
-    return anchors[at[first]], place[first], at[first], at[first + length - 1]
+    return keys[at[first]], place[first], at[first], at[first + length - 1]
 
 
 def extended(ids: np.ndarray, keys: np.ndarray, offset: np.ndarray, more: np.ndarray, words: list[bytes], window: int, gram: int) -> np.ndarray:
