@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import load, stage
+from lucerna.llm.common import load, release, stage, unstage
 from lucerna.llm.minhash import gram_hashes, mixed, word_hashes
 
 WINDOW, GRAM = 13, 5
@@ -333,7 +333,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hot_after = max(HOT_DOCUMENTS, documents // HOT_SHARE)
     anchors = stage(shared_anchors(named, window, gram, bits(SHARD_BYTES), hot_after), "op7-anchors")
     hot = np.concatenate([np.zeros(0, dtype=np.uint64), *(np.frombuffer(r[0], dtype=np.uint64) for r in anchors.filter("bucket < 0 and octet_length(values) > 0").select("values").collect())])
-    seeds = _by_document(anchors.filter("bucket >= 0"), bits(SHARD_BYTES)).withColumnRenamed("found", "anchors")
+    seeds = stage(_by_document(anchors.filter("bucket >= 0"), bits(SHARD_BYTES)), "op7-seeds").withColumnRenamed("found", "anchors")
+    unstage(anchors)
+    release(df.sparkSession)
     # both joins sort and merge, so they can share one exchange of the texts
     seeded = named.hint("merge").join(seeds.hint("merge"), "id").select("id", "text", "anchors")
     hits = _by_document(repeated_runs(seeded, hot, window, gram, bits(PLACE_BYTES)), bits(PLACE_BYTES)).withColumnRenamed("found", "runs")
