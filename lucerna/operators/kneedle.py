@@ -46,16 +46,22 @@ def cluster_count(prints: Column, radius: int = RADIUS) -> Column:
 
 
 def bigram_curve(items: Column) -> Column:
-    """For each item the number of distinct word bigrams up to it; an item of one word counts the word alone."""
-    words = lambda s: F.filter(F.split(F.lower(s), r"\s+", -1), lambda w: w != "")
-    pairs = lambda w: F.when(F.size(w) < 2, F.array(F.concat(F.array_join(w, ""), F.lit("\u0001")))).otherwise(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws("\u0001", a, b)))
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("seen"), F.expr("cast(array() as array<int>)").alias("curve"))
-
-    def step(acc: Column, item: Column) -> Column:
-        seen = F.array_union(acc["seen"], pairs(words(item)))
-        return F.struct(seen.alias("seen"), F.array_append(acc["curve"], F.size(seen)).alias("curve"))
+    """For each item the number of distinct word bigrams up to it; an item of one word counts the word alone.
 
-    return F.aggregate(items, start, step, lambda acc: acc["curve"])
+    A null item counts as empty. Two sorts of a row's bigrams, so the work grows with n log n: the first place of each
+    bigram is the head of its run, and an item's count is the number of first places sorted before its own end.
+    """
+    words = lambda s: F.filter(F.split(F.lower(F.coalesce(s, F.lit(""))), r"\s+", -1), lambda w: w != "")
+    pairs = lambda w: F.when(F.size(w) < 2, F.array(F.concat(F.array_join(w, ""), F.lit("\u0001")))).otherwise(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws("\u0001", a, b)))
+    # arrays are bound by a lambda, so that each is computed once
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+    split = F.transform(items, lambda s: words(s))
+    placed = F.flatten(F.transform(split, lambda w, i: F.transform(pairs(w), lambda p: F.struct(p.alias("pair"), i.alias("at")))))
+    heads = lambda run: F.filter(run, lambda x, j: (j == 0) | (F.get(run, j - 1)["pair"] != x["pair"]))
+    firsts = F.transform(bound(F.sort_array(placed), heads), lambda x: F.struct(x["at"].alias("at"), F.lit(False).alias("end")))
+    ends = F.transform(items, lambda s, i: F.struct(i.alias("at"), F.lit(True).alias("end")))
+    ranked = F.transform(F.sort_array(F.concat(firsts, ends)), lambda x, j: F.struct(x["end"].alias("end"), (j - x["at"]).alias("seen")))
+    return F.transform(F.filter(ranked, lambda x: x["end"]), lambda x: x["seen"])
 
 
 def knee(curve: Column) -> Column:

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.functions.text import content_key, marker_keys
+from lucerna.sources.staging import staged
 
 CAPACITY, TTL_SECONDS, EVICT_SHARE = 1000, 300, 0.1
+#: Ranges of time that a round of the cut counts.
+RANGES = 4096
 SCHEMA = "hash string, payload string, created_at long"
 
 
@@ -43,18 +46,25 @@ def upserted(store: DataFrame, fresh: DataFrame) -> DataFrame:
 def evicted(store: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """At most capacity entries: a full table first loses a tenth of its capacity, the oldest ones.
 
-    The cut is a time, found from counts by second; only the entries of that second are ranked.
+    The cut is a second, found from counts by ranges of time that narrow: a round brings at most RANGES rows to the
+    driver. Entries after the cut stay unsorted; of those of the cut second the first ones by hash stay.
     """
-    counts = store.groupBy("created_at").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if total <= capacity:
+    seconds = staged(store.groupBy("created_at").agg(F.count("*").alias("n")), "store-seconds")
+    total, low, high = seconds.agg(F.sum("n"), F.min("created_at"), F.max("created_at")).first()
+    if (total or 0) <= capacity:
         return store
-    room = capacity - int(-(-capacity * EVICT_SHARE // 1)) + 1 if total > capacity else capacity
-    newer = Window.orderBy(F.col("created_at").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0))).filter(F.col("newer") < room)
-    within = Window.partitionBy("created_at").orderBy("hash")
-    kept = store.join(ranked.select("created_at", "newer"), "created_at").withColumn("at", F.row_number().over(within))
-    return kept.filter(F.col("newer") + F.col("at") <= room).select("hash", "payload", "created_at")
+    room = capacity - int(-(-capacity * EVICT_SHARE // 1)) + 1
+    while low < high:
+        width = -(-(high - low + 1) // RANGES)
+        at = F.floor((F.col("created_at") - low) / width).cast("long")
+        ranges = seconds.filter(F.col("created_at").between(low, high)).groupBy(at.alias("at")).agg(F.sum("n").alias("n")).collect()
+        for at, n in sorted(((r["at"], r["n"]) for r in ranges), reverse=True):
+            if n >= room:
+                low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+                break
+            room -= n
+    columns = store.select("hash", "payload", "created_at")
+    return columns.filter(F.col("created_at") > low).unionByName(columns.filter(F.col("created_at") == low).orderBy("hash").limit(room))
 
 
 def retrieve(requests: DataFrame, store: DataFrame, now: Column, hash_col: str = "hash", ttl: int = TTL_SECONDS) -> DataFrame:
