@@ -12,6 +12,7 @@ from lucerna.functions.text import content_key, marker, token_estimate
 from lucerna.operators.kneedle import optimal_k
 from lucerna.operators.outliers import structural_outliers
 from lucerna.operators.relevance import hybrid
+from lucerna.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,8 @@ def crush_arrays(blocks: DataFrame, options: CrushOptions = CrushOptions(), stor
     context = F.col(context_col) if context_col else F.lit(None).cast("string")
     base = blocks.select(F.col(id_col).alias("block_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), context.alias("context"))
     parsed = base.withColumn("items", json_items(F.col("text"))).filter(F.size("items") >= options.min_items_to_analyze)
+    # parsed once: sizes, fields and items read what was written, each its own columns
+    parsed = staged(parsed.select("block_id", "context", "items"), "items")
     sizes = parsed.select("block_id", F.size("items").alias("items"))
     items = parsed.select("block_id", "context", F.posexplode("items").alias("item_idx", "item"))
     fields = items.filter("item.is_object").select("block_id", "item_idx", F.explode("item.fields").alias("f")).select("block_id", "item_idx", "f.key", "f.value")

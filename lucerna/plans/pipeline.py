@@ -69,10 +69,10 @@ def compress_blocks(blocks: DataFrame, options: Options = Options(), scorer: Sco
         known = once.join(hits, "block_id").select("block_id", "text", "result", "strategies")
         once = once.join(hits, "block_id", "left_anti")
 
-    once = staged(_typed(once).withColumn("mixed", is_mixed(F.col("text"))), "blocks")
+    once = staged(_typed(once).withColumn("mixed", is_mixed(F.col("text"))), "blocks", by="content_type")
     mixed = once.filter("mixed").select("block_id", "text")
     sections = explode_sections(mixed).withColumn("sid", F.concat_ws(":", "block_id", F.col("section_no").cast("string")))
-    sections = staged(sections, "sections")
+    sections = staged(sections, "sections", by="content_type")
     plain = F.col("content_type").isin("text", "source_code")
     done = dispatch(sections.filter(~plain).select(F.col("sid").alias("block_id"), F.col("content").alias("text"), "content_type"), options, scorer).withColumnRenamed("block_id", "sid")
     parts = sections.join(done, "sid", "left").withColumn("part", F.coalesce("result", "content"))
@@ -105,7 +105,7 @@ def compress_parts(parts: DataFrame, options: Options = Options(), scorer: Score
         hits = cached.select(F.col("hash").alias("block_id"), F.col("compressed").alias("result"), F.col("strategy").alias("status"))
         found = found.unionByName(hits.join(once.select("block_id"), "block_id", "left_semi"))
         once = once.join(hits, "block_id", "left_anti")
-    typed = staged(_typed(once), "parts")
+    typed = staged(_typed(once), "parts", by="content_type")
     done = typed.select("block_id", "text").join(dispatch(typed, options, scorer), "block_id")
     reverted = (token_estimate(F.col("result")) >= token_estimate(F.col("text"))) | (F.col("result") == F.col("text"))
     status = F.when(F.col("result").isNull(), "passthrough_disabled").when(reverted, "passthrough_revert").otherwise(F.col("strategy"))

@@ -27,11 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder.own
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df written and read back; the files go when the driver ends."""
+def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """df written and read back; the files go when the driver ends. by: a column of few values, each with files of its own."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lucerna-{tag}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
