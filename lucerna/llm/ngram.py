@@ -6,25 +6,28 @@ written as a sorted hash array with its counts. Hashed keys spread a frequent wo
 context and continuation counts go the same way to dense arrays indexed by word number. Scoring maps the files from
 the shared folder: nothing that grows with the corpus is collected or broadcast.
 
-The query scores by order 3. Its trigrams are nearly all distinct on text of this kind, so the model takes several
-times the input on disk; README has the measured figures.
+The query scores by order 3. Trigrams are nearly all distinct on text of this kind, so everything of that order is sent
+sorted and compressed, and its files keep no more than what can't be derived: a pair of raw count 1 has one word before
+it, and a context of raw count 1 one trigram.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import load, stage, workspace
+from lucerna.llm.common import load, release, stage, unstage, workspace
 from lucerna.llm.minhash import mixed, word_hashes
 
 PIECE_BYTES = 1 << 20
@@ -32,6 +35,7 @@ BATCH_TOKENS = 1 << 20
 #: Training bytes for each shard of words, bigrams and trigrams.
 WORD_BYTES, PAIR_BYTES, TRIGRAM_BYTES = 192 << 20, 64 << 20, 16 << 20
 DENSE = 1 << 20
+OPEN_MAPS = 8192
 END = np.uint64(xxhash.xxh3_64_intdigest(b" "))  # no word has white space
 _U = np.uint64
 PACKED = "shard int, keys binary, counts binary"
@@ -125,7 +129,7 @@ class SortedArrays:
         self.bits, self.shards, offset = bits, {}, 0
         for shard, path, n in sorted(files):
             keys = np.memmap(path, dtype=np.uint64, mode="r", shape=(n,))
-            self.shards[shard] = (keys, np.memmap(path, dtype=np.uint32, mode="r", offset=8 * n, shape=(n,)), offset)
+            self.shards[shard] = (keys, np.memmap(path, dtype=np.uint64, mode="r", offset=8 * n, shape=(n,)), offset)
             offset += n
         self.size = offset
 
@@ -272,7 +276,7 @@ def _train_words(rows: DataFrame, folder: str, word_bits: int) -> list:
     def write_words(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         keys, counts = _unpack(table)
-        path = _put(folder, f"words-{shard:05d}", keys, counts.astype(np.uint32))
+        path = _put(folder, f"words-{shard:05d}", keys, counts)
         return pa.table({"shard": pa.array([shard], pa.int32()), "path": [path], "n": [len(keys)], "total": [int(counts.sum())], "ends": [int(counts[keys == END].sum())]})
 
     return stage(rows.mapInArrow(count_words, PACKED).groupBy("shard").applyInArrow(write_words, "shard int, path string, n long, total long, ends long"), "op6-words").collect()
@@ -312,7 +316,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     def write_pairs(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         keys, counts = _unpack(table)
-        path = _put(folder, f"pairs-{shard:05d}", keys, counts.astype(np.uint32))
+        path = _put(folder, f"pairs-{shard:05d}", keys, counts)
         plain = unmixed(keys)
         context, word = (plain >> _U(32)).astype(np.int64), (plain & _U(0xFFFFFFFF)).astype(np.int64)
         level = np.minimum(counts, 3).astype(np.int64)
@@ -372,57 +376,213 @@ class TrigramCoder(Coder):
         return before, context, word, counts
 
 
+_ODD = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+
+
+def scrambled(x: np.ndarray, bits: int) -> np.ndarray:
+    """A permutation of the numbers of so many bits that spreads them evenly."""
+    half, mask = _U((bits + 1) // 2), _U((1 << bits) - 1)
+    for odd in _ODD:
+        x = x ^ (x >> half)
+        x = (x * _U(odd)) & mask
+    return x ^ (x >> half)
+
+
+def unscrambled(x: np.ndarray, bits: int) -> np.ndarray:
+    """The inverse of scrambled."""
+    half, mask = _U((bits + 1) // 2), _U((1 << bits) - 1)
+    for odd in reversed(_ODD):
+        x = x ^ (x >> half)
+        x = (x * _U(pow(odd, -1, 1 << 64))) & mask
+    return x ^ (x >> half)
+
+
+class Space:
+    """Keys of pairs of word numbers: twice the bits of a number, scrambled, cut at the shards of their top bits."""
+
+    def __init__(self, vocabulary: int, bits: int):
+        self.each = max(1, vocabulary.bit_length())  # numbers go from 0 to vocabulary, the start of a document
+        self.bits = min(bits, 2 * self.each)
+        self.rest = 2 * self.each - self.bits
+
+    def keys(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return scrambled((context.astype(np.uint64) << _U(self.each)) | word.astype(np.uint64), 2 * self.each)
+
+    def numbers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        plain = unscrambled(keys, 2 * self.each)
+        return (plain >> _U(self.each)).astype(np.int64), (plain & _U((1 << self.each) - 1)).astype(np.int64)
+
+    def slices(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """The parts of sorted keys by shard."""
+        edges = [0, *np.searchsorted(keys, np.arange(1, 1 << self.bits, dtype=np.uint64) << _U(self.rest)).tolist(), len(keys)]
+        for shard, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                yield shard, slice(a, b)
+
+    def within(self, keys: np.ndarray) -> np.ndarray:
+        return keys & _U((1 << self.rest) - 1)
+
+
+def squeezed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Unsigned numbers, as differences where they rise, by planes of bytes and compressed."""
+    steps = np.diff(values, prepend=values.dtype.type(0)) if rising else values
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def unsqueezed(raw: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    steps = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(steps, dtype=kind) if rising else steps
+
+
 def trigrams_summed(keys: np.ndarray, before: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (pair key, word before it), sorted, with the sums of their counts."""
-    order = np.lexsort((before, keys))
-    keys, before, counts = keys[order], before[order], counts[order]
-    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (before[1:] != before[:-1])]) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[first], before[first], np.add.reduceat(counts, first) if len(keys) else counts
+    distinct, rank = np.unique(keys, return_inverse=True)
+    whole = (rank.astype(np.uint64) << _U(32)) | before.astype(np.uint64)
+    whole, counts = summed(whole, counts)
+    return distinct[(whole >> _U(32)).astype(np.int64)], (whole & _U(0xFFFFFFFF)).astype(np.uint32), counts
+
+
+def _laid(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """Arrays for a file: their lengths first, each filled up to 8 bytes."""
+    out = [np.array([len(a) for a in arrays], dtype=np.uint64)]
+    for a in arrays:
+        out += [a, np.zeros(-a.nbytes % 8, dtype=np.uint8)]
+    return out
+
+
+def _mapped(path: str, kinds: list[type]) -> list[np.ndarray]:
+    """The arrays of a file that _laid lays out, in one map."""
+    raw = np.asarray(np.memmap(path, dtype=np.uint8, mode="r"))
+    at, out = 8 * len(kinds), []
+    for kind, n in zip(kinds, raw[:at].view(np.uint64).tolist()):
+        size = n * np.dtype(kind).itemsize
+        out.append(raw[at : at + size].view(kind))
+        at += size + -size % 8
+    return out
+
+
+def lower_bound(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The first place of each range from low to high whose value isn't below the wanted one: binary searches, all at once."""
+    low, high = low.copy(), high.copy()
+    live = np.flatnonzero(low < high)
+    while len(live):
+        a, b = low[live], high[live]
+        mid = (a + b) >> 1
+        less = values[mid] < wanted[live]
+        low[live], high[live] = a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+        live = live[a < b]
+    return low
+
+
+class Small:
+    """Counts in a byte each; those of 255 and more apart, in 64 bits."""
+
+    KINDS = [np.uint8, np.uint32, np.uint64]
+
+    def __init__(self, low: np.ndarray, places: np.ndarray, values: np.ndarray):
+        self.low, self.places, self.values = low, places, values
+
+    @staticmethod
+    def arrays(values: np.ndarray) -> list[np.ndarray]:
+        places = np.flatnonzero(values >= 255)
+        return [np.minimum(values, 255).astype(np.uint8), places.astype(np.uint32), values[places].astype(np.uint64)]
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        out = self.low[at].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            out[big] = self.values[np.searchsorted(self.places, at[big])]
+        return out
 
 
-def _slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """The parts of sorted keys by shard."""
-    edges = [0, *np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits)).tolist(), len(keys)]
-    for shard, (a, b) in enumerate(zip(edges, edges[1:])):
-        if b > a:
-            yield shard, slice(a, b)
+class Keys:
+    """Sorted keys of a shard: an index by their top bits, some 16 keys an entry, and their low bits, 32 at most."""
 
+    KINDS = [np.uint32, np.uint32]
 
-class TrigramShard:
-    """Sorted pair keys with their raw counts and, behind each, the words before it with trigram counts; mapped."""
+    def __init__(self, index: np.ndarray, low: np.ndarray, rest: int):
+        self.index, self.low = index, low
+        self.shift = rest - ((len(index) - 1).bit_length() - 1)
 
-    def __init__(self, path: str, pairs: int, trigrams: int):
-        at = 0
+    @staticmethod
+    def arrays(keys: np.ndarray, rest: int) -> list[np.ndarray]:
+        top = min(rest, max(rest - 32, (len(keys) >> 4).bit_length()))
+        edges = np.searchsorted(keys >> _U(rest - top), np.arange((1 << top) + 1, dtype=np.uint64))
+        return [edges.astype(np.uint32), (keys & _U((1 << (rest - top)) - 1)).astype(np.uint32)]
 
-        def take(kind: type, n: int) -> np.ndarray:
-            nonlocal at
-            found = np.memmap(path, dtype=kind, mode="r", offset=at, shape=(n,))
-            at += found.nbytes
-            return found
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of each key."""
+        if not len(self.low):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        top = (keys >> _U(self.shift)).astype(np.int64)
+        wanted, high = (keys & _U((1 << self.shift) - 1)).astype(np.uint32), self.index[top + 1].astype(np.int64)
+        at = lower_bound(self.low, self.index[top].astype(np.int64), high, wanted)
+        return at, (at < high) & (self.low[np.minimum(at, len(self.low) - 1)] == wanted)
 
-        self.keys, self.raw, self.start = take(np.uint64, pairs), take(np.uint32, pairs), take(np.uint32, pairs + 1)
-        self.before, self.counts = take(np.uint32, trigrams), take(np.uint32, trigrams)
 
-    def find(self, keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(raw count, continuation count, trigram count) of pairs and the words before them; 0 where there is none."""
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == keys
+class TrigramShard:
+    """Pairs of raw count 1 with the word before them; others with raw counts and, behind each, the words before it."""
+
+    KINDS = [*Keys.KINDS, np.uint32, *Keys.KINDS, *Small.KINDS, np.uint32, np.uint32, *Small.KINDS]
+
+    def __init__(self, path: str, rest: int):
+        a = _mapped(path, self.KINDS)
+        self.ones, self.one_before = Keys(a[0], a[1], rest), a[2]
+        self.keys, self.raw, self.start, self.before, self.counts = Keys(a[3], a[4], rest), Small(*a[5:8]), a[8], a[9], Small(*a[10:13])
+
+    @staticmethod
+    def arrays(keys: np.ndarray, before: np.ndarray, counts: np.ndarray, first: np.ndarray, raw: np.ndarray, rest: int) -> list[np.ndarray]:
+        """Of sorted trigrams; first marks where their pairs begin, raw has the counts of these."""
+        one = raw == 1
+        width = np.diff(np.r_[first, len(keys)])
+        many = np.repeat(~one, width)
+        start = np.r_[0, np.cumsum(width[~one])].astype(np.uint32)
+        return [*Keys.arrays(keys[first[one]], rest), before[first[one]], *Keys.arrays(keys[first[~one]], rest), *Small.arrays(raw[~one]), start, before[many], *Small.arrays(counts[many])]
+
+    def find(self, keys: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Raw count, continuation count and trigram count of pairs and the words before them, 0 where there is none: shape (3, n)."""
+        out = np.zeros((3, len(keys)), dtype=np.int64)
+        at, hit = self.ones.find(keys)
+        own = np.flatnonzero(hit)
+        out[:2, own] = 1
+        out[2, own] = self.one_before[at[own]] == before[own]
+        others = np.flatnonzero(~hit)
+        at, hit = self.keys.find(keys[others])
+        own, at = others[hit], at[hit]
         low, high = self.start[at].astype(np.int64), self.start[at + 1].astype(np.int64)
-        raw, cont, end = np.where(hit, self.raw[at], 0), np.where(hit, high - low, 0), high.copy()
-        while (low < high).any():  # a binary search in each pair's part, all at once
-            mid = (low + high) // 2
-            less = (low < high) & (self.before[np.minimum(mid, len(self.before) - 1)] < before)
-            low, high = np.where(less, mid + 1, low), np.where(less, high, np.minimum(high, mid))
-        spot = np.minimum(low, len(self.before) - 1)
-        return raw, cont, np.where(hit & (low < end) & (self.before[spot] == before), self.counts[spot], 0)
+        out[0, own], out[1, own] = self.raw.take(at), high - low
+        spot = lower_bound(self.before, low, high, before[own])
+        found = np.flatnonzero(spot < high)
+        found = found[self.before[spot[found]] == before[own[found]]]
+        out[2, own[found]] = self.counts.take(spot[found])
+        return out
+
+
+class ContextShard:
+    """Contexts of raw count 2 and more, with their trigram types of count 1, 2, 3+."""
+
+    KINDS = [*Keys.KINDS, *Small.KINDS * 3]
+
+    def __init__(self, path: str, rest: int):
+        a = _mapped(path, self.KINDS)
+        self.keys, self.types = Keys(a[0], a[1], rest), [Small(*a[i : i + 3]) for i in (2, 5, 8)]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Types of keys: shape (3, n). A context that isn't here has one trigram, of count 1."""
+        at, hit = self.keys.find(keys)
+        out = np.zeros((3, len(keys)), dtype=np.int64)
+        out[0] = 1
+        for k in range(3):
+            out[k, hit] = self.types[k].take(at[hit])
+        return out
 
 
 class TrigramModel:
     """The files of a trained model of order 3, and the few numbers that they share. Pickles small."""
 
-    def __init__(self, words, word_bits, shards, contexts, bits, dense, tokens, documents, top_d, mid_d, low_d, types, low_share):
-        self.words, self.word_bits, self.shards, self.contexts, self.bits, self.dense = words, word_bits, shards, contexts, bits, dense
+    def __init__(self, words, word_bits, shards, contexts, space, dense, tokens, documents, top_d, mid_d, low_d, types, low_share):
+        self.words, self.word_bits, self.shards, self.contexts, self.space, self.dense = words, word_bits, shards, contexts, space, dense
         self.tokens, self.documents, self.top_d, self.mid_d, self.low_d, self.types, self.low_share = tokens, documents, top_d, mid_d, low_d, types, low_share
 
     def open(self) -> TrigramScorer:
@@ -434,78 +594,82 @@ def _off(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 
 class TrigramScorer:
-    """Probabilities over mapped arrays: trigrams by raw counts, pairs and words by continuation counts."""
+    """Probabilities over mapped arrays: trigrams by raw counts, pairs and words by continuation counts.
+
+    Files are mapped when first needed, and at most OPEN_MAPS of a kind at a time.
+    """
 
     def __init__(self, m: TrigramModel):
-        self.m, self.code = m, TrigramCoder(m.words, m.word_bits)
+        self.m, self.code, self.last = m, TrigramCoder(m.words, m.word_bits), 0
         self.size = self.code.words.size
-        self.shards = {shard: TrigramShard(path, pairs, trigrams) for shard, path, pairs, trigrams in m.shards}
-        self.contexts = {shard: (np.memmap(path, dtype=np.uint64, mode="r", shape=(n,)), np.memmap(path, dtype=np.uint32, mode="r", offset=8 * n, shape=(3, n))) for shard, path, n in m.contexts}
-        self.dense = {block: np.memmap(path, dtype=np.uint32, mode="r", shape=(5, n)) for block, path, n in m.dense}
-
-    def _dense(self, numbers: np.ndarray) -> np.ndarray:
-        """Continuation count, pair types of continuation count 1, 2, 3+ by context, and their sum: shape (5, n)."""
-        out = np.zeros((5, len(numbers)), dtype=np.float64)
+        shards, contexts, dense = dict(m.shards), dict(m.contexts), dict(m.dense)
+        self.shard = lru_cache(OPEN_MAPS)(lambda s: TrigramShard(shards[s], m.space.rest) if s in shards else None)
+        self.context = lru_cache(OPEN_MAPS)(lambda s: ContextShard(contexts[s], m.space.rest) if s in contexts else None)
+        self.block = lru_cache(OPEN_MAPS)(lambda b: _dense_block(dense[b]) if b in dense else None)
+
+    def _dense(self, numbers: np.ndarray, kinds: tuple[int, ...]) -> np.ndarray:
+        """Rows of the dense arrays: continuation count, pair types of continuation count 1, 2, 3+ by context, their sum."""
+        out = np.zeros((len(kinds), len(numbers)), dtype=np.float64)
         block = numbers // DENSE
-        for b in np.unique(block[numbers >= 0]):
-            if int(b) in self.dense:
+        for b in np.unique(block[numbers >= 0]).tolist():
+            if found := self.block(b):
                 at = np.flatnonzero(block == b)
-                out[:, at] = self.dense[int(b)][:, numbers[at] % DENSE]
-        return out
-
-    def _trigrams(self, keys: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Raw, continuation and trigram counts of keys, sorted: shape (3, n)."""
-        out = np.zeros((3, len(keys)), dtype=np.float64)
-        for shard, part in _slices(keys, self.m.bits):
-            if shard in self.shards:
-                out[:, part] = self.shards[shard].find(keys[part], before[part])
-        return out
-
-    def _types(self, keys: np.ndarray) -> np.ndarray:
-        """Trigram types of count 1, 2, 3+ by context, of sorted keys: shape (3, n)."""
-        out = np.zeros((3, len(keys)), dtype=np.float64)
-        for shard, part in _slices(keys, self.m.bits):
-            if shard in self.contexts:
-                known, types = self.contexts[shard]
-                at = np.searchsorted(known, keys[part])
-                at[at == len(known)] = 0
-                out[:, part] = np.where(known[at] == keys[part], types[:, at], 0)
+                for row, k in enumerate(kinds):
+                    out[row, at] = found[k].take(numbers[at] % DENSE)
         return out
 
     def run(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, training count) of each token of a run."""
-        m = self.m
+        """(log10 probability, training count) of each token of a run. Runs must come in order."""
+        m, space = self.m, self.m.space
         before, context, word, counts = self.code.trigrams(hashes, first)
         distinct, back = np.unique(word, return_inverse=True)
-        cont = self._dense(distinct)[0]
+        cont = self._dense(distinct, (0,))[0]
         p = ((cont - _off(cont, m.low_d)) / max(m.types, 1) + m.low_share / (self.size + 1))[back]
 
-        pair_c, trigram_c = np.zeros(len(word)), np.zeros(len(word))
+        found = np.zeros((3, len(word)), dtype=np.int64)
         at = np.flatnonzero((word >= 0) & (context >= 0))
-        keys = pair_keys(context[at], word[at])
-        order = np.lexsort((before[at], keys))
-        _, pair_c[at[order]], trigram_c[at[order]] = self._trigrams(keys[order], before[at][order])
+        keys = space.keys(context[at], word[at])
+        order = np.argsort(keys)
+        keys, at = keys[order], at[order]
+        for shard, part in space.slices(keys):
+            if known := self.shard(shard):
+                found[:, at[part]] = known.find(space.within(keys[part]), before[at[part]].astype(np.uint32))
+        raw, pair_c, trigram_c = found
 
         heads, back = np.unique(context, return_inverse=True)
-        by = self._dense(heads)
-        share = np.where(by[4] > 0, (m.mid_d[0] * by[1] + m.mid_d[1] * by[2] + m.mid_d[2] * by[3]) / np.maximum(by[4], 1), 1.0)
-        p = (pair_c - _off(pair_c, m.mid_d)) / np.maximum(by[4], 1)[back] + share[back] * p
-
-        at = np.flatnonzero((before >= 0) & (context >= 0))
-        heads, back = np.unique(pair_keys(before[at], context[at]), return_inverse=True)
-        total = self._trigrams(heads, np.zeros(len(heads), dtype=np.int64))[0]
-        total[heads == pair_keys(np.array([self.size]), np.array([self.size]))] = m.documents
-        by = self._types(heads)
-        share = np.where(total > 0, (m.top_d[0] * by[0] + m.top_d[1] * by[1] + m.top_d[2] * by[2]) / np.maximum(total, 1), 1.0)
-        p[at] = np.where(total[back] > 0, (trigram_c[at] - _off(trigram_c[at], m.top_d)) / np.maximum(total, 1)[back], 0.0) + share[back] * p[at]
+        by = self._dense(heads, (1, 2, 3, 4))
+        share = np.where(by[3] > 0, (m.mid_d[0] * by[0] + m.mid_d[1] * by[1] + m.mid_d[2] * by[2]) / np.maximum(by[3], 1), 1.0)
+        p = (pair_c - _off(pair_c, m.mid_d)) / np.maximum(by[3], 1)[back] + share[back] * p
+
+        total = np.r_[self.last, raw[:-1]]  # a trigram's context is the pair before it
+        total[first] = m.documents
+        self.last = raw[-1]
+        types = np.zeros((3, len(word)), dtype=np.int64)
+        types[0, total == 1] = 1
+        at = np.flatnonzero(total > 1)
+        heads, back = np.unique(space.keys(before[at], context[at]), return_inverse=True)
+        by = np.zeros((3, len(heads)), dtype=np.int64)
+        for shard, part in space.slices(heads):
+            if known := self.context(shard):
+                by[:, part] = known.find(space.within(heads[part]))
+        types[:, at] = by[:, back]
+        at = np.flatnonzero(total > 0)
+        share = m.top_d[0] * types[0, at] + m.top_d[1] * types[1, at] + m.top_d[2] * types[2, at]
+        p[at] = (trigram_c[at] - _off(trigram_c[at], m.top_d) + share * p[at]) / total[at]
         return np.log10(p), counts
 
 
+def _dense_block(path: str) -> list[Small]:
+    a = _mapped(path, Small.KINDS * 5)
+    return [Small(*a[i : i + 3]) for i in range(0, 15, 3)]
+
+
 def train_trigrams(docs: DataFrame, text_col: str = "text") -> TrigramModel:
     """A model of order 3 over all rows of docs; files as in train.
 
     Trigrams go to the shard of their last two words, which has their continuation counts and, as each word but an end
-    is followed by another, the totals of contexts as raw counts of pairs. Types by context take a second exchange.
+    is followed by another, the totals of contexts as raw counts of pairs. Types by context take a second exchange. What
+    is sent and staged is sorted and compressed, and shuffle files are let go of as soon as their readers have ended.
     """
     spark = docs.sparkSession
     folder = workspace(spark, "op6-model")
@@ -513,28 +677,34 @@ def train_trigrams(docs: DataFrame, text_col: str = "text") -> TrigramModel:
         raise ValueError("workers map the model's files: spark.checkpoint.dir must be on a mounted file system")
     rows = docs.select(F.col(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    word_bits, bits = _bits(size, WORD_BYTES), _bits(size, TRIGRAM_BYTES)
+    word_bits = _bits(size, WORD_BYTES)
     words = _train_words(rows, folder, word_bits)
+    release(spark)
     files = [(r.shard, r.path, r.n) for r in words]
     vocabulary, tokens, documents = sum(r.n for r in words), sum(r.total for r in words), sum(r.ends for r in words)
     if vocabulary >= (1 << 32) - 1:
         raise ValueError("words are numbered with 32 bits")
+    space = Space(vocabulary, _bits(size, TRIGRAM_BYTES))
 
     def table_of(out: list[dict], kinds: dict[str, pa.DataType]) -> pa.Table:
         return pa.table({k: pa.array([r.get(k) for r in out], t) for k, t in kinds.items()})
 
+    def joined(table: pa.Table, column: str, kind: type, rising: bool = False) -> np.ndarray:
+        return np.concatenate([unsqueezed(x.as_py(), kind, rising) for x in table.column(column)])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, parts, held = TrigramCoder(files, word_bits), [], 0
 
         def send() -> pa.RecordBatch:
-            keys, before, counts = trigrams_summed(*(np.concatenate(x) for x in zip(*parts)))
-            out = [{"shard": s, "keys": keys[x].tobytes(), "before": before[x].astype(np.uint32).tobytes(), "counts": counts[x].astype(np.uint32).tobytes()} for s, x in _slices(keys, bits)]
+            keys, before = (np.concatenate(x) for x in zip(*parts))
+            keys, before, counts = trigrams_summed(keys, before, np.ones(len(keys), dtype=np.uint32))
+            out = [{"shard": s, "keys": squeezed(keys[x], True), "before": squeezed(before[x]), "counts": squeezed(counts[x].astype(np.uint32))} for s, x in space.slices(keys)]
             return table_of(out, {"shard": pa.int32(), "keys": pa.binary(), "before": pa.binary(), "counts": pa.binary()}).combine_chunks().to_batches()[0]
 
         for batch in batches:
             for hashes, _, first in token_runs((0, t.as_py()) for t in batch.column(0)):
                 before, context, word, _ = code.trigrams(hashes, first)
-                parts.append((pair_keys(context, word), before.astype(np.uint32), np.ones(len(word), dtype=np.uint32)))
+                parts.append((space.keys(context, word), before.astype(np.uint32)))
                 held += len(word)
                 if held > 2 * BATCH_TOKENS:
                     yield send()
@@ -542,67 +712,70 @@ def train_trigrams(docs: DataFrame, text_col: str = "text") -> TrigramModel:
         if parts:
             yield send()
 
-    made_kinds = {"shard": pa.int32(), "path": pa.string(), "n": pa.int64(), "trigrams": pa.int64(), "coded": pa.list_(pa.int64()), "block": pa.int32(), "kind": pa.int32(), "ids": pa.binary(), "values": pa.binary(), "keys": pa.binary()}
+    made_kinds = {"shard": pa.int32(), "path": pa.string(), "coded": pa.list_(pa.int64()), "block": pa.int32(), "kind": pa.int32(), "ids": pa.binary(), "values": pa.binary(), "keys": pa.binary()}
 
     def write(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        join = lambda c, t: np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in table.column(c)])
-        keys, before, counts = trigrams_summed(join("keys", np.uint64), join("before", np.uint32), join("counts", np.uint32))
+        keys, before, counts = trigrams_summed(joined(table, "keys", np.uint64, True), joined(table, "before", np.uint32), joined(table, "counts", np.uint32).astype(np.uint64))
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        start = np.r_[first, len(keys)]
-        cont, own = np.diff(start), keys[first]
-        path = _put(folder, f"trigrams-{shard:05d}", own, np.add.reduceat(counts, first).astype(np.uint32), start.astype(np.uint32), before, counts.astype(np.uint32))
-        plain = unmixed(own)
-        context, word = (plain >> _U(32)).astype(np.int64), (plain & _U(0xFFFFFFFF)).astype(np.int64)
+        cont, raw = np.diff(np.r_[first, len(keys)]), np.add.reduceat(counts, first)
+        path = _put(folder, f"trigrams-{shard:05d}", *_laid(TrigramShard.arrays(space.within(keys), before, counts, first, raw, space.rest)))
+        context, word = space.numbers(keys[first])
         histogram = [int((x == k).sum()) for x in (counts, cont) for k in (1, 2, 3, 4)]
-        out: list[dict] = [{"shard": shard, "path": path, "n": len(own), "trigrams": len(keys), "coded": histogram}]
+        out: list[dict] = [{"shard": shard, "path": path, "coded": histogram}]
         level = np.minimum(cont, 3)
         for kind, ids, values in ((0, word, None), *((k, context[level == k], None) for k in (1, 2, 3)), (4, context, cont)):
             distinct, back = np.unique(ids, return_inverse=True)
-            n = np.bincount(back, weights=values, minlength=len(distinct)).astype(np.uint32)
+            n = np.bincount(back, weights=values, minlength=len(distinct)).astype(np.uint64)
             cuts = np.flatnonzero(np.diff(distinct // DENSE)) + 1
             for i, v in zip(np.split(distinct, cuts), np.split(n, cuts)):
                 if len(i):
-                    out.append({"block": int(i[0] // DENSE), "kind": kind, "ids": (i % DENSE).astype(np.uint32).tobytes(), "values": v.tobytes()})
-        heads, back = np.unique(pair_keys(before, np.repeat(context, cont)), return_inverse=True)
+                    out.append({"block": int(i[0] // DENSE), "kind": kind, "ids": squeezed((i % DENSE).astype(np.uint32), True), "values": squeezed(v)})
+        heads, back = np.unique(space.keys(before, np.repeat(context, cont)), return_inverse=True)
         level = np.minimum(counts, 3)
         types = np.stack([np.bincount(back, weights=level == k, minlength=len(heads)).astype(np.uint32) for k in (1, 2, 3)])
-        out += [{"shard": s, "keys": heads[x].tobytes(), "values": types[:, x].tobytes()} for s, x in _slices(heads, bits)]
+        out += [{"shard": s, "keys": squeezed(heads[x], True), "values": squeezed(np.ascontiguousarray(types[:, x]).reshape(-1))} for s, x in space.slices(heads)]
         return table_of(out, made_kinds)
 
-    counted = rows.mapInArrow(count, "shard int, keys binary, before binary, counts binary")
-    made = stage(counted.groupBy("shard").applyInArrow(write, "shard int, path string, n long, trigrams long, coded array<long>, block int, kind int, ids binary, values binary, keys binary"), "op6-trigrams")
-    shards = made.filter("path is not null").select("shard", "path", "n", "trigrams", "coded").collect()
+    made = stage(rows.mapInArrow(count, "shard int, keys binary, before binary, counts binary").groupBy("shard").applyInArrow(write, "shard int, path string, coded array<long>, block int, kind int, ids binary, values binary, keys binary"), "op6-trigrams")
+    release(spark)
+    shards = made.filter("path is not null").select("shard", "path", "coded").collect()
 
     def write_contexts(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("keys")])
-        types = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint32).reshape(3, -1) for x in table.column("values")], axis=1)
-        order = np.argsort(keys, kind="stable")
-        keys, types = keys[order], types[:, order]
+        keys = joined(table, "keys", np.uint64, True)
+        types = np.concatenate([unsqueezed(x.as_py(), np.uint32).reshape(3, -1) for x in table.column("values")], axis=1)
+        order = np.argsort(keys)
+        keys, types = keys[order], types[:, order].astype(np.uint64)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        path = _put(folder, f"contexts-{shard:05d}", keys[first], np.add.reduceat(types, first, axis=1).astype(np.uint32))
-        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [path], "n": [len(first)]})
+        keys, types = keys[first], np.add.reduceat(types, first, axis=1)
+        many = (types[0] > 1) | (types[1] > 0) | (types[2] > 0)
+        arrays = Keys.arrays(space.within(keys[many]), space.rest)
+        for row in types:
+            arrays += Small.arrays(row[many])
+        return pa.table({"shard": pa.array([shard], pa.int32()), "path": [_put(folder, f"contexts-{shard:05d}", *_laid(arrays))]})
 
-    contexts = stage(made.filter("keys is not null").select("shard", "keys", "values").groupBy("shard").applyInArrow(write_contexts, "shard int, path string, n long"), "op6-contexts").collect()
+    contexts = stage(made.filter("keys is not null").select("shard", "keys", "values").groupBy("shard").applyInArrow(write_contexts, "shard int, path string"), "op6-contexts").collect()
+    release(spark)
 
     def write_dense(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        n = min(DENSE, vocabulary + 1 - block * DENSE)
-        dense = np.zeros((5, n), dtype=np.uint32)
+        dense = np.zeros((5, min(DENSE, vocabulary + 1 - block * DENSE)), dtype=np.uint64)
         for kind, ids, values in zip(table.column("kind").to_pylist(), table.column("ids"), table.column("values")):
-            dense[kind, np.frombuffer(ids.as_py(), dtype=np.uint32)] += np.frombuffer(values.as_py(), dtype=np.uint32)
-        path = _put(folder, f"dense-{block:05d}", dense)
+            dense[kind, unsqueezed(ids.as_py(), np.uint32, True)] += unsqueezed(values.as_py(), np.uint64)
+        path = _put(folder, f"dense-{block:05d}", *_laid([a for row in dense for a in Small.arrays(row)]))
         c = dense[0]
-        return pa.table({"block": pa.array([block], pa.int32()), "path": [path], "n": [n], "types": [int(c.sum(dtype=np.uint64))], "coded": pa.array([[int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum())]], pa.list_(pa.int64()))})
+        return pa.table({"block": pa.array([block], pa.int32()), "path": [path], "types": [int(c.sum())], "coded": pa.array([[int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum())]], pa.list_(pa.int64()))})
 
-    blocks = stage(made.filter("kind is not null").select("block", "kind", "ids", "values").groupBy("block").applyInArrow(write_dense, "block int, path string, n long, types long, coded array<long>"), "op6-dense").collect()
+    blocks = stage(made.filter("kind is not null").select("block", "kind", "ids", "values").groupBy("block").applyInArrow(write_dense, "block int, path string, types long, coded array<long>"), "op6-dense").collect()
+    unstage(made)
+    release(spark)
     types = sum(r.types for r in blocks)
     low = [sum(r.coded[k] for r in blocks) for k in range(5)]
     seen = [sum(r.coded[k] for r in shards) for k in range(8)]
     top_d, mid_d, low_d = discounts(seen[:4]), discounts(seen[4:]), discounts(low[:4])
     low_share = (low_d[0] * low[0] + low_d[1] * low[1] + low_d[2] * low[4]) / types if types else 1.0
-    return TrigramModel(files, word_bits, [(r.shard, r.path, r.n, r.trigrams) for r in shards], [(r.shard, r.path, r.n) for r in contexts], bits, [(r.block, r.path, r.n) for r in blocks], tokens, documents, top_d, mid_d, low_d, types, low_share)
+    return TrigramModel(files, word_bits, [(r.shard, r.path) for r in shards], [(r.shard, r.path) for r in contexts], space, [(r.block, r.path) for r in blocks], tokens, documents, top_d, mid_d, low_d, types, low_share)
 
 
 def score_texts(docs: DataFrame, model: Model | TrigramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lucerna.llm import ngram
@@ -130,3 +131,45 @@ def test_query_scores_with_two_words_of_context(spark):
     want = {r.doc_id: r.score for r in ngram.score_texts(docs, ngram.train_trigrams(spark.createDataFrame([(t,) for t in trained], "text string"))).collect()}
     got = {r.doc_id: r.score for r in ngram.op6_lm_scoring(spark, sf).collect()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("vocabulary, bits", [(1, 2), (5, 20), (1_247_806, 4), ((1 << 32) - 2, 24)])
+def test_spaces_of_pair_keys_can_be_undone(vocabulary, bits):
+    space = ngram.Space(vocabulary, bits)
+    rng = np.random.default_rng(1)
+    context, word = rng.integers(0, vocabulary + 1, (2, 3000))
+    keys = space.keys(context, word)
+    assert all((a == b).all() for a, b in zip(space.numbers(keys), (context, word)))
+    assert len(np.unique(keys)) == len(set(zip(context.tolist(), word.tolist())))
+    keys = np.sort(keys)
+    shards = {s: part for s, part in space.slices(keys)}
+    assert sum(p.stop - p.start for p in shards.values()) == len(keys)
+    for s, part in shards.items():
+        assert (keys[part] >> np.uint64(space.rest) == s).all()
+        own = np.unique(space.within(keys[part]))
+        found, hit = ngram.Keys(*ngram.Keys.arrays(own, space.rest), space.rest).find(own)
+        assert hit.all() and (found == np.arange(len(own))).all()
+        if space.rest:
+            absent = np.setdiff1d(own ^ np.uint64(1), own)
+            assert not ngram.Keys(*ngram.Keys.arrays(own, space.rest), space.rest).find(absent)[1].any()
+
+
+def test_packed_numbers_can_be_undone():
+    rng = np.random.default_rng(2)
+    for kind in (np.uint32, np.uint64):
+        values = rng.integers(0, np.iinfo(kind).max, 1000, dtype=kind)
+        assert (ngram.unsqueezed(ngram.squeezed(values), kind) == values).all()
+        assert (ngram.unsqueezed(ngram.squeezed(np.sort(values), True), kind, True) == np.sort(values)).all()
+        assert len(ngram.unsqueezed(ngram.squeezed(values[:0]), kind)) == 0
+    values = np.array([0, 254, 255, 256, 1, 1 << 40], dtype=np.uint64)
+    assert (ngram.Small(*ngram.Small.arrays(values)).take(np.array([5, 0, 3, 2, 1, 4, 5])) == values[[5, 0, 3, 2, 1, 4, 5]]).all()
+
+
+def test_trigrams_with_counts_beyond_a_byte(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcd"), 40)) for _ in range(60)] + ["a b c"] * 300
+    held = ["a b c", "a b d q a", "d c b a", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(held)], "doc_id long, text string")
+    model = ngram.train_trigrams(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = {r.doc_id: r.score for r in ngram.score_texts(df, model).collect()}
+    assert [got[i] for i in range(len(held))] == pytest.approx(brute3(texts, held)[0])
