@@ -354,11 +354,11 @@ t2 AS (SELECT o.block_id, text, body || CASE WHEN files > 10 THEN chr(10) || '[.
 
 def _entries(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    fresh = d.select(T.content_key(F.col("text")).alias("hash"), F.col("text").alias("payload"), (1000 + F.col("doc_id") % 600).alias("created_at"))
+    fresh = d.select(T.content_key(F.col("text")).alias("hash"), F.col("text").alias("payload"), (1000 + F.col("doc_id") * 37 % 600).alias("created_at"))
     return store.upserted(fresh.limit(0), fresh)
 
 
-_ENTRIES = "n AS (SELECT substr(sha256(text), 1, 24) AS hash, any_value(text) AS payload, max(1000 + doc_id % 600) AS made FROM documents GROUP BY 1)"
+_ENTRIES = "n AS (SELECT substr(sha256(text), 1, 24) AS hash, any_value(text) AS payload, max(1000 + doc_id * 37 % 600) AS made FROM documents GROUP BY 1)"
 
 
 @query("ref_op11_store_size", f"WITH {_ENTRIES} SELECT count(*) AS size FROM n")
