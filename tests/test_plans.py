@@ -42,6 +42,26 @@ def test_known_blocks(spark):
     assert parts[1].strategy == "passthrough_skip_cache" and parts[2].text == "tiny" and parts[2].did_compress
 
 
+def test_part_texts_stay_where_they_are(spark):
+    """Behind the written tables no exchange has texts, lines or matches: on large tables those filled the disk."""
+    import contextlib
+    import io
+
+    texts = [make_log(200), make_search(20, 20), make_diff(60), PROSE, "short", make_log(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "part_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = compress_parts(df)
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            done.explain("formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    nodes = plan.getvalue().split("\n\n")
+    moved = [n for n in nodes if "Exchange\nInput" in n]
+    assert moved and not [n for n in moved if any(f"{c}#" in n.split("\n")[1] for c in ("text", "content", "raw"))]
+    assert [r.strategy for r in done.orderBy("part_id").collect()] == ["log_compressor", "search_compressor", "diff_compressor", "passthrough_revert", "passthrough_small", "log_compressor"]
+
+
 def test_message_pipeline(spark):
     part = lambda kind, text: (kind, text if kind == "text" else None, ("completed", text) if kind == "tool" else None)
     rows = [(1, 0, "user", [part("text", ITEMS)]), (1, 1, "user", [part("text", "hi")]), (1, 2, "assistant", [part("tool", ITEMS), part("text", PROSE), ("tool", None, ("running", ITEMS))]), (2, 0, "assistant", [part("text", ITEMS)])]
