@@ -190,8 +190,10 @@ def payload_of(block: bytes, digest: str) -> bytes:
 def reassemble(records: DataFrame, with_payload: bool = False) -> DataFrame:
     """A row per page record: id, bytes, digest, type, refers, and payload if asked for.
 
-    Only the records of cut blocks move, by origin identifier; one page is held at a time. Missing or repeated segments, a
-    wrong total length, broken framing and wrong digests raise ValueError.
+    Segments that follow one another in a file, from the first to the one with the total length, are put together where
+    they are read. Those of other cut blocks move, by origin identifier, and for each block put together its identifier
+    alone, so that a segment met elsewhere too is found. One page is held at a time. Missing or repeated segments, a wrong
+    total length, broken framing and wrong digests raise ValueError.
     """
     schema = "id string, bytes long, digest string, type string, refers string" + ", payload binary" * with_payload
     names = ["id", "bytes", "digest", "type", "refers", *["payload"] * with_payload]
@@ -201,13 +203,44 @@ def reassemble(records: DataFrame, with_payload: bool = False) -> DataFrame:
         columns = list(zip(*out)) if out else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+        """Records of one cut block that follow one another; those of whole blocks one by one."""
+        group: list[dict] = []
         for batch in batches:
-            out = []
             for r in batch.to_pylist():
+                if group and (r["number"] == 0 or r["origin"] != group[0]["origin"] or group[0]["number"] == 0):
+                    yield group
+                    group = []
+                group.append(r)
+        if group:
+            yield group
+
+    def complete(group: list[dict]) -> bool:
+        return group[-1]["total"] is not None and [r["number"] for r in group] == list(range(1, len(group) + 1))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for group in runs(batches):
+            r = group[0]
+            if r["number"] == 0:
                 payload = payload_of(r["block"], r["digest"]) if r["type"] == "response" else None
                 out.append((r["id"], r["bytes"] if payload is None else len(payload), r["digest"], r["type"], r["refers"], *[payload] * with_payload))
-            yield batched(out)
+            elif complete(group):
+                out.append(page(group))
+            if len(out) >= 256:
+                yield batched(out)
+                out = []
+        yield batched(out)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("id", pa.string()), ("type", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("block", pa.binary())])
+        out: list[dict] = []
+        for group in runs(batches):
+            out += [{"origin": group[0]["origin"], "number": 0}] if complete(group) else group
+            if len(out) >= 256:
+                yield pa.RecordBatch.from_pylist(out, schema=kept)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema=kept)
 
     def page(group: list[dict]) -> tuple:
         origin = group[0]["origin"]
@@ -220,21 +253,25 @@ def reassemble(records: DataFrame, with_payload: bool = False) -> DataFrame:
         payload = payload_of(block, first["digest"])
         return first["id"], len(payload), first["digest"], first["type"], first["refers"], *[payload] * with_payload
 
+    def pages(group: list[dict]) -> list[tuple]:
+        """The page of segments that moved; none of a block that was put together where it was read."""
+        return [] if len(group) == 1 and group[0]["number"] == 0 else [page(group)]
+
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[dict] = []
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 if group and r["origin"] != group[0]["origin"]:
-                    out.append(page(group))
+                    out += pages(group)
                     group = []
                 group.append(r)
             yield batched(out)
-        yield batched([page(group)] if group else [])
+        yield batched(pages(group) if group else [])
 
-    plain = records.filter("number = 0").mapInArrow(whole, schema)
-    cut = records.filter("number > 0").repartition("origin").sortWithinPartitions("origin", "number")
-    return plain.unionByName(cut.mapInArrow(joined, schema))
+    here = records.mapInArrow(whole, schema)
+    cut = records.filter("number > 0").mapInArrow(others, RECORDS).repartition("origin").sortWithinPartitions("origin", "number")
+    return here.unionByName(cut.mapInArrow(joined, schema))
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:

@@ -233,6 +233,29 @@ def test_production_segments_cut_most_pages(spark):
     assert got == {r.id: r.html.encode() for r in pages.collect()}
 
 
+def test_segments_of_one_file_stay_where_they_are_read(spark, tmp_path):
+    """Of pages cut into segments in one file only identifiers are shuffled; segments spread over files are put together too."""
+    texts = [(i, f"http://x/{i}", base64.b85encode(random.Random(i).randbytes(16000)).decode()) for i in range(40)]
+    df = spark.createDataFrame(texts, "id long, url string, html string").withColumn("refers", F.lit(None).cast("string")).coalesce(1)
+    manifest = spark.createDataFrame(warc.write_archives(df, f"file://{tmp_path}").collect())
+    records = warc.read_archives(manifest, f"file://{tmp_path}")
+    spark.sparkContext.setJobGroup("op3-segments", "")
+    got = {r.id: r.payload for r in warc.reassemble(records, with_payload=True).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("op3-segments") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {str(i): html.encode() for i, _, html in texts}
+    assert got == want
+    assert 0 < sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s)) < 50_000
+    dealt = records.repartition(4, "number").localCheckpoint()
+    assert {r.id: r.payload for r in warc.reassemble(dealt, with_payload=True).collect()} == want
+    # the same file listed twice, or a segment met twice
+    for again in (warc.read_archives(manifest.unionByName(manifest).repartition(2), f"file://{tmp_path}"), records.unionByName(records.filter("number = 2"))):
+        with pytest.raises(Exception, match="missing or repeated"):
+            warc.reassemble(again).collect()
+
+
 def test_damaged_segments_are_found(spark):
     folder = workspace(spark, "test-warc")
     pages = spark.createDataFrame([("1", "u", "y" * 1000, None)], "id string, url string, html string, refers string")
